@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import quality, token_store, toxicity
+from readloom.llm import gif, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_gif": gif.query,
     "op7_token_store": token_store.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
