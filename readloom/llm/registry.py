@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import gif, quality, token_store, toxicity
+from readloom.llm import gif, lines, mixing, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.query,
     "op6_gif": gif.query,
     "op7_token_store": token_store.query,
+    "op8_lines": lines.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE,
+    "op8_lines": lines.ORACLE,
+}
