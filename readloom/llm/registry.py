@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import gif, lines, mixing, quality, token_store, toxicity
+from readloom.llm import gif, lines, mixing, pieces, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.query,
+    "op5_pieces": pieces.query,
     "op6_gif": gif.query,
     "op7_token_store": token_store.query,
     "op8_lines": lines.query,
