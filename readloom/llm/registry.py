@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import gif, lines, mixing, pieces, quality, token_store, toxicity
+from readloom.llm import gif, lattice_lm, lines, mixing, pieces, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lattice_lm": lattice_lm.query,
     "op4_mixing": mixing.query,
     "op5_pieces": pieces.query,
     "op6_gif": gif.query,
