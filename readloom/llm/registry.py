@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import chosen_path, gif, lattice_lm, lines, mixing, pieces, quality, token_store, toxicity
+from readloom.llm import chosen_path, gif, lattice_lm, lines, mixing, order_minhash, pieces, quality, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": chosen_path.query,
+    "op2_order_minhash": order_minhash.query,
     "op3_lattice_lm": lattice_lm.query,
     "op4_mixing": mixing.query,
     "op5_pieces": pieces.query,
