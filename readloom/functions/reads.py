@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Quality cut-offs as raw ASCII, the Phred offset, and the overlap search's limits.
 Q20, Q30, Q40 = 53, 63, 73
@@ -84,8 +85,8 @@ def fnv1a(text: Column) -> Column:
         return F.struct(high.alias("high"), p.bitwiseAND(mask).alias("low"))
 
     hexed = F.hex(text.cast("binary"))
-    bytes_ = F.transform(F.filter(F.sequence(F.lit(0), F.length(hexed) / 2 - 1), lambda i: F.length(hexed) > 0), lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
-    bytes_ = F.when(F.length(hexed) > 0, bytes_).otherwise(F.array().cast("array<bigint>"))
+    pairs = F.regexp_extract_all(hexed, F.lit("(..)"), 1)
+    bytes_ = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long"))
     last = F.aggregate(bytes_, F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low")), step)
     return F.transform(F.array(last), lambda s: F.concat(F.lpad(F.hex(s["high"]), 8, "0"), F.lpad(F.hex(s["low"]), 8, "0")))[0]
 
@@ -119,7 +120,10 @@ def overlap_batch(first: list[str], second: list[str]) -> tuple[np.ndarray, np.n
     return found, offset, size
 
 
-@F.pandas_udf("found boolean, offset int, length int")
+_OVERLAP = T.StructType([T.StructField("found", T.BooleanType()), T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType())])
+
+
+@F.pandas_udf(_OVERLAP)
 def _overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in batches:
         found, offset, size = overlap_batch(a.fillna("").tolist(), b.fillna("").tolist())

@@ -24,13 +24,12 @@ def read_file_elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files_of_xml(xml: Column) -> Column:
-    """Inline XML: an array of its file elements, each with attributes and alternatives, all text."""
+    """A run element as text: its accession and file elements, each with attributes and alternatives, all text."""
     attrs = ["cluster", "filename", "url", "size", "date", "md5", "version", "semantic_name", "supertype", "sratoolkit"]
     other = ["url", "free_egress", "access_type", "org"]
     fields = ", ".join(f"_{a}: string" for a in attrs)
     inner = ", ".join(f"_{a}: string" for a in other)
-    parsed = F.from_xml(xml, f"RUN struct<_accession: string, SRAFiles: struct<SRAFile: array<struct<{fields}, Alternatives: array<struct<{inner}>>>>>>")
-    return parsed["RUN"]
+    return F.from_xml(xml, f"_accession string, SRAFiles struct<SRAFile: array<struct<{fields}, Alternatives: array<struct<{inner}>>>>>")
 
 
 def run_accessions(xml: Column) -> Column:
