@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import shared_path, sums, table, text_or_empty
+from readloom.llm.common import prefix_hashes, range_hashes, shared_path, spans, sums, table, text_chunks, text_or_empty
 
 BLOCK_IDS = 1 << 17
 END_ID = 1
@@ -55,9 +56,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             width += ids >= np.uint64(1 << bits)
     width = np.append(width, np.zeros(120, np.int8))  # past the end a word may be filled up
     choice = np.zeros(n + 120, np.int8)
+    own = np.arange(n + 120)
     for s in range(len(LAYOUTS) - 1, 0, -1):
         count, bits = LAYOUTS[s]
-        own = np.flatnonzero(width <= bits)
+        own = own[width[own] <= bits]
         choice[own[: len(own) - count + 1][own[count - 1 :] - own[: len(own) - count + 1] == count - 1]] = s
     choice = choice[:n]
     step = np.arange(n) + _COUNT[choice]
@@ -115,18 +117,51 @@ def from_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), unpack(words, escapes, n)
 
 
+#: Latin letters whose case folds one to one, then marks that start no contraction
+_SPLIT = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~][!-/:-@\\[-`{-~]*)?").fullmatch
+
+
+class _Index:
+    """Numbers by 64-bit key in an open table that takes further keys; found and put in by arrays."""
+
+    def __init__(self, bits: int):
+        self.mask, self.steps = (1 << bits) - 1, 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def insert(self, keys: np.ndarray, values: range) -> None:
+        slot, left, number, step = (keys & np.uint64(self.mask)).astype(np.int64), np.arange(len(keys)), np.array(values, np.int32), 1
+        while len(left):
+            free = left[self.values[slot[left]] < 0]
+            own, one = np.unique(slot[free], return_index=True)
+            self.keys[own], self.values[own] = keys[free[one]], number[free[one]]
+            left = left[self.values[slot[left]] != number[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+            self.steps, step = max(self.steps, step), step + 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys & np.uint64(self.mask)).astype(np.int64)
+        got = self.values[slot]
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (got >= 0))
+        for _ in range(self.steps - 1):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            got[open_] = self.values[slot[open_]]
+            open_ = open_[(self.keys[slot[open_]] != keys[open_]) & (got[open_] >= 0)]
+        got[open_] = -1
+        return got
+
+
 class WordTokenizer:
     """Encodes by distinct word: the tokenizer drops white space and never joins words over it.
 
-    A lower-case ASCII word and its full stop or comma are pieces of their own to the tokenizer, and it folds case, so
-    ``Word,`` takes its ids from ``word`` and ``,``. The memory of words is emptied at ``most`` words; that changes no
-    result.
+    A run of Latin letters and the ASCII marks behind it are pieces of their own to the tokenizer, and it folds case,
+    so ``Word,`` takes its ids from ``word`` and ``,``. Words are known by 64-bit hashes of their bytes, in a memory that
+    is emptied at ``most`` words; that changes no result.
     """
 
     #: a word of its own to the tokenizer, one id, that separates the words of one call
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,26 +172,32 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.n, self.used = {}, 0, 0
+        self.place, self.n, self.used, self.index = {}, 0, 0, _Index(22)
         self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self._learn([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._learn(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.place[""] = 0
 
-    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.n + len(words) > len(self.start):
+    def _learn(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Store the ids of further words; their numbers."""
+        n = len(sizes)
+        while self.n + n > len(self.start):
             self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.start[self.n : self.n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(words)] = sizes
+        self.start[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + n] = sizes
         self.flat[self.used : self.used + len(ids)] = ids
-        self.place.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n, self.used = self.n + len(words), self.used + len(ids)
+        self.n, self.used = self.n + n, self.used + len(ids)
+        return range(self.n - n, self.n)
+
+    def _name(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(words, self._learn(ids, sizes), strict=True))
 
     def _encode(self, words: list[str]) -> None:
         apart = [w for w in words if self.mark is None or self.MARK in w]
         if apart:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)]
-            self._learn(apart, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found]))
+            self._name(apart, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found]))
             words = [w for w in words if self.mark is not None and self.MARK not in w]
         sep = f" {self.MARK} "
         for lo in range(0, len(words), 8192):
@@ -167,50 +208,63 @@ class WordTokenizer:
                 if len(ends) != len(own):  # a word that gives the mark's id by itself
                     for w in own:
                         alone = self.tokenizer.encode(w, add_special_tokens=False).ids
-                        self._learn([w], np.array(alone, np.uint32), np.array([len(alone)]))
+                        self._name([w], np.array(alone, np.uint32), np.array([len(alone)]))
                     continue
-                self._learn(own, ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)
+                self._name(own, ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.size[at]
         end = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], size
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the count of each text's."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if self.n + 2 * len(words) > self.most:
-            self.clear()
-        new, parts = words - self.place.keys(), {}
-        for w in new:
-            if w.isascii():
-                low = w.lower()
-                head, tail = (low[:-1], low[-1]) if low[-1] in ".," else (low, "")
-                if head.isalpha() and head + tail != w or head.isalpha() and tail:
-                    parts[w] = (head, tail)
-        self._encode([w for w in (new - parts.keys()) | {p for pair in parts.values() for p in pair} if w not in self.place])
-        if parts:
-            ids, sizes = self._gather(np.fromiter((self.place[p] for pair in parts.values() for p in pair), np.int64, 2 * len(parts)))
-            self._learn(list(parts), ids, sizes.reshape(-1, 2).sum(1))
-        counts = np.array([len(x) for x in split])
-        ids, sizes = self._gather(np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, counts.sum()))
-        return ids, sums(sizes, np.concatenate([[0], np.cumsum(counts)]))
-
-
-Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Learn words by their hashes, from the ids of their parts."""
+        place, parts, alone = self.place, [], set()
+        for w in words:
+            m = _SPLIT(w)
+            head, tail = (m[1].lower(), m[2] or "") if m else (w, "")
+            if head not in place:
+                alone.add(head)
+            if tail not in place:
+                alone.add(tail)
+            parts += (head, tail)
+        self._encode(list(alone))
+        ids, sizes = self._gather(np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)))
+        self.index.insert(hashes, self._learn(ids, sizes.reshape(-1, 2).sum(1)))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and n+1 offsets) in order, and the count of each text's."""
+        start, end, first = spans(data, offs)
+        h = range_hashes(prefix_hashes(data), start, end)
+        at = self.index.find(h)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new, rep = np.unique(h[miss], return_index=True)
+            if self.n + 2 * len(new) > self.most:
+                self.clear()
+                new, rep = np.unique(h, return_index=True)
+                miss = np.arange(len(h))
+            raw = data.tobytes()
+            self._add(new, [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[miss[rep]].tolist(), end[miss[rep]].tolist(), strict=True)])
+            at[miss] = self.index.find(h[miss])
+        ids, sizes = self._gather(at)
+        return ids, sums(sizes, first)
+
+
+#: UTF-8 bytes and n+1 offsets of texts -> all their ids in order, the count of each
+Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 _ENCODERS: dict[str, WordTokenizer] = {}
 
 
 def word_bpe(name: str = TOKENIZER) -> Encode:
     """An encoder for :func:`write_ids`, made once in each Python worker; ``name``: a public tokenizer or a path."""
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if name not in _ENCODERS:
             import public_tokenizers
 
             _ENCODERS[name] = WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name))
-        return _ENCODERS[name].encode(texts)
+        return _ENCODERS[name].encode(data, offs)
 
     return encode
 
@@ -233,11 +287,10 @@ def write_ids(docs: DataFrame, path: str, encode: Encode, end_id: int | None = E
         type_ = None
         for batch in batches:
             type_ = batch.schema.field("doc_id").type
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found, sizes = encode(part.column("text").to_pylist())
+            for lo, hi, data, offs in text_chunks(batch.column("text")):
+                found, sizes = encode(data, offs)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                for k, name in enumerate(part.column("doc_id").to_pylist()):
+                for k, name in enumerate(batch.column("doc_id").slice(lo, hi - lo).to_pylist()):
                     own = found[bounds[k] : bounds[k + 1]]
                     ids.append(own if end_id is None else np.append(own, np.uint32(end_id)))
                     lengths.append(len(ids[-1]))
