@@ -143,6 +143,11 @@ def download_root(project: Column) -> Column:
     return F.when(project.startswith("http"), F.regexp_replace(project, r"/+\z", "")).when(project_kind(project) == "human", human)
 
 
+def controlled(html: Column) -> Column:
+    """Whether a project's page says that its access is controlled."""
+    return F.contains(html, F.lit("Controlled access"))
+
+
 def path_after(path: Column, project: Column) -> Column:
     """The part of a path behind the first <project>/, or the path."""
     mark = F.concat(project, F.lit("/"))

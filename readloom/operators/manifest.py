@@ -100,6 +100,11 @@ def archive_commands(entries: DataFrame, root: str, tool: str) -> DataFrame:
     return entries.select(archive_download_command(tool, F.lit(root), F.col("path")).alias("line"))
 
 
+def entry_counts(entries: DataFrame) -> DataFrame:
+    """How many entries there are, and how many are reads."""
+    return entries.agg(F.count("*").alias("all_files"), F.count_if(F.endswith("path", F.lit("q.gz"))).alias("fastq"))
+
+
 def require_rows(rows: DataFrame, what: str) -> DataFrame:
     """The rows, or an error where there are none."""
     if rows.isEmpty():
