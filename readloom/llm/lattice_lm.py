@@ -5,24 +5,30 @@ ranks, so a piece of rank r starts at 1 / (r + 10)); expectation-maximisation ov
 learns them. The probability that the lattice gives a word is found by forward recursion in log space,
 ``alpha[e] = logsumexp over s of alpha[s] + log p(piece s..e)``, for all words of one length at once.
 
-The model of a token w, with its training count c, N training tokens, V distinct ones and discount d:
+Documents fall into classes (languages: at most ``CLASSES`` values of a column, the rarer ones share the last), and
+each class z has a lattice of its own. With training counts c, N tokens, V distinct words and discount d:
 
-    p(w) = max(c - d, 0) / N + d * V / N * lattice(w),      p(end) = c(end) / N
+    p0(w)   = max(c - d, 0) / N + d V / N * sum over z of share(z) * lattice_z(w)
+    p(w|z)  = max(c_z - d_z, 0) / N_z + d_z V_z / N_z * (p0(w) + lattice_z(w)) / 2,     p(end|z) = documents_z / N_z
 
-so the lattice carries what the counts leave for unseen words. Counts, piece expectations and scores cover every word
-of every document. Words are counted by partial aggregation; the at most ``FREQUENT`` commonest words (a bounded table)
-are scored where the documents are read, all others by a join on the word's 64-bit hash.
+so the lattices carry what the counts leave for unseen words. The score is log10 of share(z) * p(text|z) for the
+document's own class: one term of the marginal over classes, and so never more than it.
+
+Counts, piece expectations and scores cover every word of every document. Words are counted by partial aggregation;
+the at most ``FREQUENT`` commonest words (a bounded table) are scored where the documents are read, all others by a
+join on the word's 64-bit hash.
 
 Defined results: null and empty texts have one token, the end; repeated rows are counted and scored each; a null id
-counts as the empty text when folds are dealt; with no training rows, half of the mass goes to the end and half to
-the lattice's first weights, and base scores are 0. Extra columns are ignored.
+counts as the empty text when folds are dealt; a null class is a class of its own; a class without training rows takes
+p0; with no training rows at all, half of the mass goes to the end and half to the lattice's first weights, and base
+scores are 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, buffers, durable, fold_of, mix64, prefix_hashes, range_hashes, spans, table, text_chunks, text_or_empty
+from readloom.llm.common import LOWER, buffers, durable, fold_of, lean, mix64, prefix_hashes, range_hashes, spans, table, text_chunks, text_or_empty
 from readloom.llm.pieces import Keys
 
 VOCABULARY = "piece_bpe_32k.model"
 FREQUENT = 400_000
+CLASSES = 8
 ROUNDS = 4
 #: the byte that stands for a word's start; white space never occurs in a word
 _START = 0x20
@@ -56,8 +63,12 @@ class Lattice:
     logp: np.ndarray
     log_stop: float
     log_go: float
+    keys: Keys | None = field(default=None, repr=False)
+    longest: int = 0
 
     def __post_init__(self) -> None:
+        if self.keys is not None:
+            return
         by_size: dict[int, list[int]] = {}
         for i, p in enumerate(self.pieces):
             by_size.setdefault(len(p), []).append(i)
@@ -95,9 +106,9 @@ class Lattice:
             weights.append(w)
         return alpha, weights
 
-    def log_words(self, words: np.ndarray) -> np.ndarray:
+    def log_words(self, words: np.ndarray, found: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
         """Natural-log probabilities of equal-length words (bytes with the start byte, one row each)."""
-        return self._forward(words, self._pieces_of(words))[0][:, -1] + self.log_stop
+        return self._forward(words, found or self._pieces_of(words))[0][:, -1] + self.log_stop
 
     def expect(self, words: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of the words, weighted by their probabilities."""
@@ -122,7 +133,7 @@ class Lattice:
             c = counts[own] + 1e-3
             logp[own] = np.log(c / c.sum())
         stop = min(0.99, max(0.01, words / max(counts.sum(), 1.0)))
-        return Lattice(self.pieces, logp, float(np.log(stop)), float(np.log1p(-stop)))
+        return replace(self, logp=logp, log_stop=float(np.log(stop)), log_go=float(np.log1p(-stop)))
 
 
 def initial(name: str = VOCABULARY) -> Lattice:
@@ -170,100 +181,149 @@ def _groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        train = batch.column("train").to_numpy(zero_copy_only=False)
+        train, kind = batch.column("train").to_numpy(zero_copy_only=False), batch.column("kind").to_numpy()
         for lo, hi, data, offs in text_chunks(batch.column("text"), 1 << 22):
             data = LOWER[data]
             start, end, first = spans(data, offs)
             if not len(start):
                 continue
-            _, rep, back = np.unique(range_hashes(prefix_hashes(data), start, end), return_index=True, return_inverse=True)
+            z = np.repeat(kind[lo:hi], np.diff(first))
+            h = mix64(range_hashes(prefix_hashes(data), start, end) + z.astype(np.uint64))
+            _, rep, back = np.unique(h, return_index=True, return_inverse=True)
             used = np.repeat(train[lo:hi], np.diff(first))
             cuts = np.column_stack([start, end]).ravel().astype(np.int64)
             words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]).take(pa.array(2 * rep)).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(back, used, len(rep)).astype(np.int64)), pa.array(np.bincount(back, minlength=len(rep)).astype(np.int64))], ["word", "trained", "n"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(z[rep], pa.int32()), pa.array(np.bincount(back, used, len(rep)).astype(np.int64)), pa.array(np.bincount(back, minlength=len(rep)).astype(np.int64))], ["word", "kind", "trained", "n"])
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (lower-cased bytes), its count in training rows, its count in all rows."""
-    parts = docs.select("train", "text").mapInArrow(_count_words, "word binary, trained long, n long")
-    return parts.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n"))
+def count_words(docs: DataFrame, kinds: int) -> DataFrame:
+    """word (lower-cased bytes), its count in all rows, in training rows, and in training rows of each class."""
+    parts = docs.select("train", "kind", "text").mapInArrow(lean(_count_words), "word binary, kind int, trained long, n long")
+    by = [F.sum(F.when(F.col("kind") == z, F.col("trained")).otherwise(0)).alias(f"t{z}") for z in range(kinds)]
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"), *by)
 
 
-def learn(words: DataFrame, rounds: int = ROUNDS, name: str = VOCABULARY) -> Lattice:
-    """Expectation-maximisation over the distinct training words; the driver sees one row a piece."""
-    lattice, types = initial(name), words.where("trained > 0").select("word")
+def learn(words: DataFrame, kinds: int, rounds: int = ROUNDS, name: str = VOCABULARY) -> list[Lattice]:
+    """Expectation-maximisation over each class's distinct training words; the driver sees one row a piece and class."""
+    lattices, types = [initial(name)] * kinds, words.where("trained > 0").select("word", *[f"t{z}" for z in range(kinds)])
+    size = len(lattices[0].pieces)
     for _ in range(rounds):
-        now = lattice
+        now = lattices
 
-        def run(batches: Iterator[pa.RecordBatch], now: Lattice = now) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros(len(now.pieces)), 0
+        def run(batches: Iterator[pa.RecordBatch], now: list[Lattice] = now) -> Iterator[pa.RecordBatch]:
+            total, seen = np.zeros((kinds, size)), np.zeros(kinds)
             for batch in batches:
-                for rows, w in _groups(batch.column("word")):
-                    total += now.expect(w)
-                    seen += len(rows)
-            own = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1), pa.int32()), pa.array(np.append(total[own], float(seen)))], ["piece", "uses"])
-
-        got = types.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        piece, uses = got.column("piece").to_numpy(), got.column("uses").to_numpy()
-        counts = np.zeros(len(now.pieces))
-        counts[piece[piece >= 0]] = uses[piece >= 0]
-        if not counts.any():
+                for z in range(kinds):
+                    own = batch.column("word").filter(pa.array(batch.column(f"t{z}").to_numpy() > 0))
+                    for rows, w in _groups(own):
+                        total[z] += now[z].expect(w)
+                        seen[z] += len(rows)
+            flat = np.concatenate([total.ravel(), seen])
+            own = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(flat[own])], ["place", "uses"])
+
+        got = types.mapInArrow(lean(run), "place long, uses double").groupBy("place").agg(F.sum("uses").alias("uses")).toArrow()
+        flat = np.zeros(kinds * size + kinds)
+        flat[got.column("place").to_numpy()] = got.column("uses").to_numpy()
+        counts, seen = flat[: kinds * size].reshape(kinds, size), flat[kinds * size :]
+        if not seen.any():
             break
-        lattice = now.learned(counts, float(uses[piece < 0].sum()))
-    return lattice
+        lattices = [now[z].learned(counts[z], float(seen[z])) if seen[z] else now[z] for z in range(kinds)]
+    return lattices
 
 
 @dataclass(frozen=True)
-class Corpus:
-    """What the training rows add up to."""
+class Part:
+    """What the training rows of a class (or all) add up to."""
 
-    tokens: int  #: N, words and ends
-    distinct: int  #: V, the end included
     ends: int
+    words: int  #: running words
+    distinct: int  #: distinct words
     discount: float
 
-    def token(self, c: np.ndarray, log_lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of words' base and model probabilities."""
-        base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
-        if not self.tokens:
-            return base, (log_lattice + np.log(0.5)) / np.log(10)
-        with np.errstate(divide="ignore"):
-            seen = np.log(np.maximum(c - self.discount, 0) / self.tokens)
-        rest = np.log(self.discount * max(1, self.distinct) / self.tokens) + log_lattice
-        return base, np.logaddexp(seen, rest) / np.log(10)
+    @property
+    def tokens(self) -> int:
+        return self.words + self.ends
 
-    def end(self) -> tuple[float, float]:
-        base = np.log10((self.ends + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
-        return float(base), float(np.log10(self.ends / self.tokens if self.tokens else 0.5))
+    def seen(self, c: np.ndarray) -> np.ndarray:
+        """Natural log of what the counts give."""
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(c - self.discount, 0) / self.tokens)
 
+    def rest(self) -> float:
+        """Natural log of the mass that discounts leave to unseen words."""
+        return float(np.log(max(self.discount * self.distinct, 0.5) / self.tokens))
 
-def corpus_of(words: DataFrame, docs: DataFrame) -> Corpus:
-    w = words.where("trained > 0").agg(F.sum("trained"), F.count("*"), F.count_if(F.col("trained") == 1), F.count_if(F.col("trained") == 2)).first()
-    ends = docs.where("train").count()
-    once, twice = w[2], w[3]
-    return Corpus((w[0] or 0) + ends, w[1] + (ends > 0), ends, once / (once + 2 * twice) if once and twice else 0.5)
+    def log_end(self) -> float:
+        return float(np.log10(self.ends / self.tokens if self.tokens else 0.5))
 
 
-def word_scores(words: DataFrame, lattice: Lattice, corpus: Corpus) -> DataFrame:
-    """hash, known (seen in training), base and model log10 probability and count n of every distinct word."""
+@dataclass(frozen=True)
+class Corpus:
+    whole: Part
+    parts: list[Part]
+    shares: np.ndarray
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        """log10 of the base probability of tokens of training count c."""
+        n, v = self.whole.tokens, self.whole.distinct + (self.whole.ends > 0)
+        return np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+
+    def token(self, c: np.ndarray, by: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """log10 p(w|z), a column a class, from training counts, those by class and log lattice probabilities."""
+        top = log.max(1, keepdims=True)
+        mixed = (np.log(np.exp(log - top) @ self.shares) + top[:, 0])[:, None]
+        if not self.whole.tokens:
+            return (np.broadcast_to(mixed, log.shape) + np.log(0.5)) / np.log(10)
+        general = np.logaddexp(self.whole.seen(c), self.whole.rest() + mixed[:, 0])
+        out = np.empty_like(log)
+        for z, part in enumerate(self.parts):
+            out[:, z] = np.logaddexp(part.seen(by[:, z]), part.rest() + np.log(0.5) + np.logaddexp(general, log[:, z])) if part.tokens else general
+        return out / np.log(10)
+
+    def end(self, z: int) -> float:
+        """log10 of share(z) * p(end|z)."""
+        part = self.parts[z] if self.parts[z].tokens else self.whole
+        return part.log_end() + float(np.log10(self.shares[z]))
+
+
+def corpus_of(words: DataFrame, docs: DataFrame, kinds: int) -> Corpus:
+    names = ["trained", *[f"t{z}" for z in range(kinds)]]
+    sums_ = [x for c in names for x in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))]
+    got = words.agg(*sums_).first()
+    ends = {r[0]: r[1] for r in docs.where("train").groupBy("kind").count().collect()}
+
+    def part(k: int, n: int) -> Part:
+        total, distinct, once, twice = (x or 0 for x in got[4 * k : 4 * k + 4])
+        return Part(n, total, distinct, once / (once + 2 * twice) if once and twice else 0.5)
+
+    n = np.array([ends.get(z, 0) for z in range(kinds)], float)
+    return Corpus(part(0, int(n.sum())), [part(z + 1, int(n[z])) for z in range(kinds)], (n + 0.5) / (n.sum() + 0.5 * kinds))
+
+
+def word_scores(words: DataFrame, lattices: list[Lattice], corpus: Corpus) -> DataFrame:
+    """hash, known (seen in training), base and models (a log10 probability a class) and count n of every word."""
+    kinds = len(lattices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = buffers(batch.column("word"))
-            c, log = batch.column("trained").to_numpy(), np.zeros(batch.num_rows)
+            c, log = batch.column("trained").to_numpy(), np.zeros((batch.num_rows, kinds))
             for rows, w in _groups(batch.column("word")):
-                log[rows] = lattice.log_words(w)
-            base, model = corpus.token(c, log)
+                found = lattices[0]._pieces_of(w)
+                for z, lattice in enumerate(lattices):
+                    log[rows, z] = lattice.log_words(w, found)
+            by = np.stack([batch.column(f"t{z}").to_numpy() for z in range(kinds)], 1)
+            models = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * kinds, pa.int32()), pa.array(corpus.token(c, by, log).astype(np.float32).ravel()))
             h = np.empty(batch.num_rows, np.uint64)
             lo = 0
             while lo < len(h):
                 hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + (1 << 21), side="right")) - 1)
                 h[lo:hi] = range_hashes(prefix_hashes(data[offs[lo] : offs[hi]]), offs[lo:hi] - offs[lo], offs[lo + 1 : hi + 1] - offs[lo])
                 lo = hi
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c > 0), pa.array(base), pa.array(model), batch.column("n")], ["hash", "known", "base", "model", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c > 0), pa.array(corpus.base(c)), models, batch.column("n")], ["hash", "known", "base", "models", "n"])
 
-    return words.mapInArrow(run, "hash long, known boolean, base double, model double, n long")
+    return words.mapInArrow(lean(run), "hash long, known boolean, base double, models array<float>, n long")
 
 
 # ---- scores -------------------------------------------------------------------------------------
@@ -279,25 +339,40 @@ def _frequent(scored: DataFrame, most: int) -> tuple[int, dict[str, np.ndarray]]
             break
         total, cut = total + n, k
     rows = scored.where(level >= cut if cut is not None else F.lit(False)).drop("n").toArrow()
-    return cut if cut is not None else 1 << 30, {c: rows.column(c).to_numpy() for c in rows.column_names}
+    got = {c: rows.column(c).to_numpy() for c in ("hash", "known", "base")}
+    got["models"] = rows.column("models").combine_chunks().flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.float32)
+    return cut if cut is not None else 1 << 30, got
+
+
+def with_kinds(docs: DataFrame, column: str | None, most: int = CLASSES) -> tuple[DataFrame, int]:
+    """doc_id, train, text and kind, the class's number; the rarest values beyond ``most`` share the last class."""
+    docs = docs.select("doc_id", "train", text_or_empty().alias("text"), *([F.col(column).cast("string").alias("kind")] if column else []))
+    if not column:
+        return docs.withColumn("kind", F.lit(0)), 1
+    ranked = docs.groupBy("kind").count().orderBy(F.desc("count"), F.asc_nulls_last("kind")).limit(most).collect()
+    number = F.lit(min(len(ranked), most) - 1 if ranked else 0)
+    for z, r in reversed(list(enumerate(ranked))):
+        number = F.when(F.col("kind").eqNullSafe(F.lit(r[0])), z).otherwise(number)
+    return docs.withColumn("kind", number.cast("int")), max(1, len(ranked))
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, class_column: str | None = None, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row; ``docs`` has ``train``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "train", text_or_empty().alias("text"))
-    words = durable(count_words(docs), "lm-words")
-    corpus = corpus_of(words, docs)
-    scored = durable(word_scores(words, learn(words, rounds), corpus), "lm-scores")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    docs, kinds = with_kinds(docs, class_column)
+    words = durable(count_words(docs, kinds), "lm-words")
+    corpus = corpus_of(words, docs, kinds)
+    scored = durable(word_scores(words, learn(words, kinds, rounds), corpus), "lm-scores")
     cut, common = _frequent(scored, frequent)
-    hashes, known, base, model = common["hash"].view(np.uint64), common["known"].astype(bool), common["base"], common["model"]
-    end_base, end_model = corpus.end()
-    end_known = corpus.ends > 0
+    hashes, known, base, models = common["hash"].view(np.uint64), common["known"].astype(bool), common["base"], common["models"]
+    end_base, ends = float(corpus.base(np.array([corpus.whole.ends]))[0]), np.array([corpus.end(z) for z in range(kinds)])
+    end_known = corpus.whole.ends > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(hashes)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            kind = batch.column("kind").to_numpy()
             for lo, hi, data, offs in text_chunks(batch.column("text")):
                 data, n = LOWER[data], hi - lo
                 start, end, first = spans(data, offs)
@@ -305,38 +380,39 @@ def score(docs: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> Da
                 at = keys.find(h) if len(hashes) else np.full(len(h), -1)
                 hit = at >= 0
                 of = np.repeat(np.arange(n), np.diff(first))
-                take = at[hit]
-                add = lambda v: np.bincount(of[hit], v[take], n)  # noqa: B023, E731
+                take, own = at[hit], kind[lo:hi]
                 rest = pa.array(h[~hit].view(np.int64))
                 k = len(rest)
                 ids, nothing = batch.column("doc_id").slice(lo, n), pa.nulls(k, pa.float64())
+                model = np.bincount(of[hit], models[take, own[of[hit]]].astype(float), n) if len(take) else np.zeros(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([row + np.arange(n), row + of[~hit]])),
                         pa.concat_arrays([pa.nulls(n, pa.int64()), rest]),
+                        pa.array(np.concatenate([own, own[of[~hit]]]), pa.int32()),
                         pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
                         pa.concat_arrays([batch.column("train").slice(lo, n), pa.nulls(k, pa.bool_())]),
                         pa.concat_arrays([pa.array(np.diff(first) + 1), pa.nulls(k, pa.int64())]),
                         pa.concat_arrays([pa.array(np.bincount(of[hit], known[take], n).astype(np.int64) + end_known), pa.nulls(k, pa.int64())]),
-                        pa.concat_arrays([pa.array(add(base) + end_base), nothing]),
-                        pa.concat_arrays([pa.array(add(model) + end_model), nothing]),
+                        pa.concat_arrays([pa.array(np.bincount(of[hit], base[take], n) + end_base), nothing]),
+                        pa.concat_arrays([pa.array(model + ends[own]), nothing]),
                     ],
-                    ["row", "hash", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
+                    ["row", "hash", "kind", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
                 )
                 row += n
 
     # Written once: row numbers must not change between the two readings below.
-    parts = durable(docs.mapInArrow(run, f"row long, hash long, doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"), "lm-parts")
+    parts = durable(docs.mapInArrow(lean(run), f"row long, hash long, kind int, doc_id {id_type}, train boolean, n_tokens long, n_known long, base_score double, score double"), "lm-parts")
     level = F.floor(F.log2("n") * 16).cast("int")
-    rare = parts.where("hash is not null").select("row", "hash").join(scored.where(level < cut).drop("n"), "hash")
-    rare = rare.groupBy("row").agg(F.count_if("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("model").alias("more_score"))
-    out = parts.where("hash is null").drop("hash").join(rare, "row", "left")
+    rare = parts.where("hash is not null").select("row", "hash", "kind").join(scored.where(level < cut).drop("n"), "hash")
+    rare = rare.groupBy("row").agg(F.count_if("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum(F.element_at("models", F.col("kind") + 1).cast("double")).alias("more_score"))
+    out = parts.where("hash is null").drop("hash", "kind").join(rare, "row", "left")
     return out.select(
-        "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(corpus.whole.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("train", fold_of("doc_id", 10) != 0)
-    return score(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, "lang").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
