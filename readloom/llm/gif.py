@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table, text_chunks
+from readloom.llm.common import lean, table, text_chunks
 
 WIDTH = 64
 ROWS = 1024
@@ -313,7 +313,7 @@ def to_media(docs: DataFrame, compress: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offs), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 _FRAME = "frame int, begin_ms int, delay_ms int, width int, height int, red array<int>, green array<int>, blue array<int>, samples binary"
@@ -339,7 +339,7 @@ def frames(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(rows), ids.type), *columns, pa.array([error] * len(rows), pa.string())], ["doc_id", "frame", "begin_ms", "delay_ms", "width", "height", "red", "green", "blue", "samples", "error"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, {_FRAME}, error string")
+    return media.select("doc_id", "media").mapInArrow(lean(run), f"doc_id {kind}, {_FRAME}, error string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +359,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(media: DataFrame) -> DataFrame:
     """What the stored media hold once read back: sizes, hashes and the colour-histogram feature."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digests, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(_digests), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,13 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm.common import mix64, table
+from readloom.llm.common import lean, mix64, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = 0x2581
@@ -251,21 +252,21 @@ def _chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int
         yield lo, len(texts)
 
 
-def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
-    """doc_id and ids (null for a null text) of every row."""
+def _encoded(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = model_of(name)
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for lo, hi in _chunks(texts):
+            ids, counts = encode_texts(model, [t or "" for t in texts[lo:hi]])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            lists = pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts[lo:hi]]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(name)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _chunks(texts):
-                ids, counts = encode_texts(model, [t or "" for t in texts[lo:hi]])
-                bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                lists = pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts[lo:hi]]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
+def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
+    """doc_id and ids (null for a null text) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(partial(_encoded, name)), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
@@ -279,7 +280,7 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, text string")
 
 
 def digests(encoded: DataFrame, name: str = MODEL) -> DataFrame:
@@ -301,7 +302,7 @@ def digests(encoded: DataFrame, name: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "decoded_chars"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, decoded_chars long")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, decoded_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,14 +310,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their digests for every document in the order it comes."""
+    """doc_id, ids, n_pieces and ids_crc32 of every document in the order it comes, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [len(x.values) if x.is_valid else None for x in batch.column("ids")]
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) if x.is_valid else None for x in batch.column("ids")]
+        for batch in _encoded(MODEL, batches):
+            lists = batch.column("ids")
+            counts = [len(x.values) if x.is_valid else None for x in lists]
+            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "ids", "n_pieces", "ids_crc32"])
 
-    encoded = encode(docs)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long")

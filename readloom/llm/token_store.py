@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import prefix_hashes, range_hashes, shared_path, spans, sums, table, text_chunks, text_or_empty
+from readloom.llm.common import lean, prefix_hashes, range_hashes, shared_path, spans, sums, table, text_chunks, text_or_empty
 
 BLOCK_IDS = 1 << 17
 END_ID = 1
@@ -303,7 +303,7 @@ def write_ids(docs: DataFrame, path: str, encode: Encode, end_id: int | None = E
 
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, f"shard int, block int, before long, n_ids long, doc_ids array<{kind}>, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(lean(run), f"shard int, block int, before long, n_ids long, doc_ids array<{kind}>, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -336,7 +336,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     """doc_id, start, n_tokens, ids_crc32 and the ids of every document, decoded from the store."""
     blocks = read_blocks(spark, path)
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    return blocks.select("start", "doc_ids", "payload").mapInArrow(_documents(with_ids), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return blocks.select("start", "doc_ids", "payload").mapInArrow(lean(_documents(with_ids)), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, fold_of, prefix_hashes, range_hashes, spans, sums, table, text_chunks, text_or_empty
+from readloom.llm.common import LOWER, fold_of, lean, prefix_hashes, range_hashes, spans, sums, table, text_chunks, text_or_empty
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, m
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     # Repeated ids stay out of the bound: each chosen id gives one text.
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).drop("doc_id")
-    got = rows.mapInArrow(_bags, _BAG).toArrow().combine_chunks()
+    got = rows.mapInArrow(lean(_bags), _BAG).toArrow().combine_chunks()
     sizes = got.column("sizes").combine_chunks()
     per_doc = np.concatenate([[0], np.cumsum(sizes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if len(got) else np.zeros(1, np.int64)
     flat = sizes.flatten().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, np.int32)
@@ -155,7 +155,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(total), pa.array(worst), pa.array(text)], ["doc_id", "score", "worst_score", "worst_sentence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, worst_score double, worst_sentence string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, worst_score double, worst_sentence string")
 
 
 def offending_sentences(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
@@ -172,7 +172,7 @@ def offending_sentences(docs: DataFrame, model: Model, cut: float = 0.5) -> Data
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(start[hit] - offs[row]), pa.array(end[hit] - offs[row]), pa.array(by_sent[hit]), pa.array(said, pa.string())], ["doc_id", "begin", "end", "score", "sentence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, begin long, end long, score double, sentence string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, begin long, end long, score double, sentence string")
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -185,7 +185,7 @@ def keep_clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 total[lo:hi] = score_rows(model, data, offs)[0]
             yield batch.filter(pa.array(total < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
