@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import durable, mix64, prefix_hashes, range_hashes, spans, table, text_chunks, text_or_empty
+from readloom.llm.common import durable, lean, mix64, prefix_hashes, range_hashes, spans, table, text_chunks, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -105,7 +105,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_sketch, f"doc_id {kind}, text_hash long, class binary, n int, minima array<int>, short binary")
+    return rows.mapInArrow(lean(_sketch), f"doc_id {kind}, text_hash long, class binary, n int, minima array<int>, short binary")
 
 
 # ---- splitting ----------------------------------------------------------------------------------
@@ -132,7 +132,8 @@ def buckets(classes: DataFrame, runs: int) -> DataFrame:
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), *([F.first("parent_size").alias("parent_size")] if depth > 1 else []))
         sizes = sizes.where("size > 1")
         dense = (F.col("size") >= DENSE * SIMILARITY * F.col("parent_size")) if depth > 1 else F.lit(False)
-        sizes = sizes.withColumn("leaf", (F.col("size") <= SMALL) | dense | F.lit(depth == DEEPEST))
+        # Written, so that the join's two sides are plain exchanges, whose hot buckets Spark can split.
+        sizes = durable(sizes.withColumn("leaf", (F.col("size") <= SMALL) | dense | F.lit(depth == DEEPEST)), "path-sizes")
         placed = level.drop("parent_size").join(sizes.drop("parent_size"), "bucket")
         placed = durable(placed, "path-placed")
         done.append(placed.where("leaf").select("bucket", "class", "n", "size", "weight"))
@@ -314,11 +315,11 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     kept = "bucket long, class binary, n int, buckets array<long>, i int, j int, side boolean"
     sorted_ = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     order = ["bucket", "class", "n", "buckets", "i", "j", "side"]
-    chosen = durable(sorted_(dealt.select(*order, "short")).mapInArrow(_candidates, kept), "cpj-candidates")
+    chosen = durable(sorted_(dealt.select(*order, "short")).mapInArrow(lean(_candidates), kept), "cpj-candidates")
     wanted = chosen.select("class").distinct().join(classes, "class").select("class", "copies", "first.doc_id", "first.text_hash")
     texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text_or_empty()).alias("__hash"), text_or_empty().alias("text"))
     texts = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash"))).select("class", "copies", "text")
-    judged = durable(sorted_(chosen.drop("n").join(texts, "class")).mapInArrow(_exact, "class binary, links long, root binary"), "cpj-links")
+    judged = durable(sorted_(chosen.drop("n").join(texts, "class")).mapInArrow(lean(_exact), "class binary, links long, root binary"), "cpj-links")
     labels = components(judged.select("class", "root"))
     links = judged.groupBy("class").agg(F.sum("links").alias("links"))
     found = classes.join(links, "class", "left").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))

@@ -47,6 +47,8 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     found = durable(windows(docs, span), "line-windows")
     place = F.struct("doc_id", "text_hash", "line")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join's two sides are plain exchanges, whose hot windows Spark can split.
+    first = durable(first, "line-firsts")
     later = found.join(first, ["h1", "h2"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("starts"))
 
