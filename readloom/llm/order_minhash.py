@@ -144,23 +144,24 @@ def successors(signed: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and next_id of every row."""
     signed = durable(signatures(docs), "omh-signatures")
     follow = durable(successors(signed), "omh-next")
     texts = _keyed(docs)
     # What each document hands to the one before it: the head that the edit takes.
     asked = follow.select(*_named("of"), *[F.col(f"next_{c}").alias(f"to_{c}") for c in KEY], F.floor(F.col("n") / 3).cast("int").alias("cut"))
-    heads = texts.join(asked, _on("to")).select(*[f"of_{c}" for c in KEY], F.col("text").substr(F.lit(1), F.col("cut")).alias("head"))
-    heads = heads.groupBy(*[f"of_{c}" for c in KEY]).agg(F.first("head").alias("head"))
+    # With doc_id, both joins below read the same columns of ``texts``, so its exchange is made once and reused.
+    heads = texts.join(asked, _on("to")).select(*[f"of_{c}" for c in KEY], F.col("text").substr(F.lit(1), F.col("cut")).alias("head"), F.col("doc_id").alias("next_id"))
+    heads = heads.groupBy(*[f"of_{c}" for c in KEY]).agg(F.first("head").alias("head"), F.first("next_id").alias("next_id"))
     after = follow.select(*_named("own"), *[F.col(f"next_{c}").alias(c) for c in KEY]).join(signed.select(*KEY, F.col("signature").alias("next_signature")), KEY).drop(*KEY)
     both = signed.select(*KEY, "n", "signature").join(after, _on("own")).select(*_named("at"), "n", "signature", "next_signature")
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 3).cast("int")), "head")
-    rows = texts.join(heads, _on("of")).select("doc_id", *KEY, let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signature(e).alias("signature"))).alias("e"))
+    rows = texts.join(heads, _on("of")).select("doc_id", "next_id", *KEY, let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signature(e).alias("signature"))).alias("e"))
     rows = rows.join(both, _on("at"))
     return rows.select(
         "doc_id", F.col("n").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("e.signature")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("e.signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+        likeness(F.col("signature"), F.col("e.signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"), "next_id",
     )
 
 
