@@ -159,9 +159,9 @@ def study_id(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"study_id[^0-9]*([0-9]+)", 1), F.lit(""))
 
 
-def project_urls(html: Column, project: str, holding: str = "download") -> Column:
-    """The distinct URLs of a page that end in the project and hold a word, in order."""
-    found = F.regexp_extract_all(html, F.lit(f"http[^< =]+{project}"), 0)
+def project_urls(html: Column, project: Column | str, holding: str = "download") -> Column:
+    """The distinct URLs of a page that end in the project (a text, or a column of one a row) and hold a word, in order."""
+    found = F.regexp_extract_all(html, F.concat(F.lit("http[^< =]+"), project if isinstance(project, Column) else F.lit(project)), 0)
     return F.array_sort(F.array_distinct(F.filter(found, lambda u: F.contains(u, F.lit(holding)))))
 
 

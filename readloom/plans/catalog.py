@@ -408,8 +408,8 @@ _HTML = "concat('<a href=http://x.org/download/P', page_id, '>d</a> http://x.org
 
 @query("SELECT page_id, 1 AS n, concat('http://x.org/download/P', page_id) AS url FROM pages WHERE page_id < 10")
 def html_unique_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _t(spark, sf_dir, "pages").where("page_id < 10").select("page_id", F.expr(_HTML).alias("html"))
-    found = F.coalesce(*[F.when(F.col("page_id") == i, tf.project_urls(F.col("html"), f"P{i}")) for i in range(10)])
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.expr(_HTML).alias("html"))
+    found = tf.project_urls(F.col("html"), F.concat(F.lit("P"), F.col("page_id").cast("string")))
     return pages.select("page_id", F.size(found).alias("n"), F.element_at(found, 1).alias("url"))
 
 
