@@ -151,7 +151,7 @@ _FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(s
 
 @query(_R1 + f" SELECT k, printf('%016X', {_FNV}::UBIGINT) AS fnv1a FROM r")
 def fnv1a_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.reads(spark, sf_dir).select(F.col("record_index").alias("k"), rf.fnv1a(F.substring("seq", 1, 40)).alias("fnv1a"))
+    return adapter.reads(spark, sf_dir).select(F.col("record_index").alias("k"), rf.fnv1a(F.col("seq")).alias("fnv1a"))
 
 
 # ---- overlap and insert size --------------------------------------------------------------------

@@ -4,7 +4,7 @@ import os
 
 import duckdb
 
-from readloom.plans import catalog
+from readloom.plans import adapter, catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -13,3 +13,14 @@ def test_urls_of_every_page(spark):
     got = sorted(tuple(r) for r in catalog.html_unique_url(spark, SF).select("page_id", "n", "url").collect())
     assert got == duckdb.sql(f"SELECT page_id, 1, concat('http://x.org/download/P', page_id) FROM '{SF}/pages.parquet' ORDER BY page_id").fetchall()
     assert max(r[0] for r in got) >= 10
+
+
+def test_hashes_of_whole_reads(spark):
+    reads = adapter.reads(spark, SF).selectExpr("record_index AS k", "seq").limit(300)
+    got = {r.k: r for r in catalog.fnv1a_hash(spark, SF).join(reads, "k").collect()}
+    assert len(got) == 300 and max(len(r.seq) for r in got.values()) > 100
+    for r in got.values():
+        h = 0xCBF29CE484222325
+        for byte in r.seq.encode():
+            h = (h ^ byte) * 0x100000001B3 % 2**64
+        assert r.fnv1a == f"{h:016X}"
