@@ -105,7 +105,7 @@ def length_histogram(reads: DataFrame, column: str = "seq") -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def text_profile(rows: DataFrame, column: str, width: int = 150) -> DataFrame:
-    """position, code and n over the first characters of any ASCII text column."""
-    each = rows.select(F.posexplode(F.split(F.substring(F.regexp_replace(column, "[^ -~]", ""), 1, width), "")).alias("at", "c")).where("c <> ''")
+def text_profile(rows: DataFrame, column: str) -> DataFrame:
+    """position, code and n over all ASCII characters of any text column."""
+    each = rows.select(F.posexplode(F.split(F.regexp_replace(column, "[^ -~]", ""), "")).alias("at", "c")).where("c <> ''")
     return each.groupBy((F.col("at") + 1).alias("cycle"), F.ascii("c").bitwiseAND(7).alias("code")).agg(F.count("*").alias("n"))

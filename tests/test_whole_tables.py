@@ -1,6 +1,7 @@
 """Catalogue queries over whole tables, reads and texts, against SQL and models that leave nothing out."""
 
 import os
+from collections import Counter
 
 import duckdb
 
@@ -24,3 +25,11 @@ def test_hashes_of_whole_reads(spark):
         for byte in r.seq.encode():
             h = (h ^ byte) * 0x100000001B3 % 2**64
         assert r.fnv1a == f"{h:016X}"
+
+
+def test_profile_of_whole_texts(spark):
+    got = {(r.cycle, r.code): r.n for r in catalog.text_profile(spark, SF).collect()}
+    want = Counter()
+    for (text,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        want.update((i, ord(c) & 7) for i, c in enumerate((c for c in text if " " <= c <= "~"), 1))
+    assert got == want and max(i for i, _ in want) > 150
