@@ -6,9 +6,7 @@ counts as often as it stands there. Each of ``FUNCTIONS`` hash orders selects th
 are put back into text order, and the hash of that tuple is one value of the signature. Two texts agree in a value when
 they share the selected k-mers and their order, which falls with edit distance and not with set overlap only.
 
-The orders run over a coordinated sample: the occurrences of the ``SAMPLE`` k-mers with the least base hash of the
-whole text (all k-mers of texts with no more distinct ones). The base hash decides alone which k-mers enter, so like
-texts sample alike, and no k-mer is left out for its place in the text.
+Every order ranks all numbered k-mers of the text.
 
 A fingerprint is the signature as text, eight hex digits a value; likeness is the share of equal values.
 
@@ -32,7 +30,6 @@ from readloom.llm.common import durable, table, text_or_empty
 K = 3
 L = 2
 FUNCTIONS = 32
-SAMPLE = 48
 #: one unit: a character that stands alone, or a run of others
 UNIT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\x20\x09-\x0D\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"
 _PLACE = (1 << 24) - 1
@@ -54,44 +51,40 @@ def _kmers(units: Column) -> Column:
     return let(F.transform(units, lambda u: F.xxhash64(u)), of_hashes)
 
 
-def _sampled(kmers: Column) -> Column:
-    """The occurrences (sorted longs) of the SAMPLE least k-mers."""
-
-    def cut(s: Column) -> Column:
-        hashes = F.array_distinct(F.transform(s, lambda e: e.bitwiseAND(~_PLACE)))
-        return let(F.element_at(F.slice(hashes, 1, SAMPLE), -1), lambda top: F.filter(s, lambda e: e <= top.bitwiseOR(_PLACE)))
-
-    return F.when(F.size(kmers) > SAMPLE, let(kmers, cut)).otherwise(kmers)
-
-
-def _numbered(sample: Column) -> Column:
-    """(place, k-mer, name of k-mer and occurrence number), in text order."""
-
-    def item(e: Column, number: Column) -> Column:
-        return F.struct(e.bitwiseAND(_PLACE).alias("place"), e.bitwiseAND(~_PLACE).alias("kmer"), F.xxhash64(e.bitwiseAND(~_PLACE), number).alias("name"))
+def _names(kmers: Column) -> Column:
+    """Of each sorted k-mer the hash of k-mer and occurrence number, in the same order."""
 
     def of(s: Column) -> Column:
-        few = let(F.transform(s, lambda e: e.bitwiseAND(~_PLACE)), lambda h: F.transform(s, lambda e, i: item(e, i + 2 - F.array_position(h, e.bitwiseAND(~_PLACE)).cast("int"))))
-        # Many occurrences of few k-mers: one pass for each k-mer stays linear in the text.
-        hashes = F.array_distinct(F.transform(s, lambda e: e.bitwiseAND(~_PLACE)))
-        many = F.flatten(F.transform(hashes, lambda h: F.transform(F.filter(s, lambda e: e.bitwiseAND(~_PLACE) == h), lambda e, i: item(e, i + 1))))
-        return F.array_sort(F.when(F.size(s) <= 1024, few).otherwise(many))
+        h = F.transform(s, lambda e: e.bitwiseAND(~_PLACE))
+        # Occurrences of a k-mer are neighbours: runs of equal hashes keep this linear in the text.
+        starts = lambda h: F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (F.get(h, i - 1) != x), i)), lambda i: i.isNotNull())
+        runs = lambda h: let(starts(h), lambda a: F.transform(a, lambda i, j: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(a, j + 1), F.size(h)) - i), lambda number: F.xxhash64(F.get(h, i), number))))
+        return F.flatten(let(h, runs))
 
-    return let(sample, of)
+    return let(kmers, of)
 
 
 def signature(text: Column) -> Column:
     """FUNCTIONS hashes of the text."""
 
-    def value(items: Column, f: Column) -> Column:
-        # 40 bits of the function's hash, then the index in text order.
-        ranked = F.transform(items, lambda x, i: F.xxhash64(x["name"], f).bitwiseAND(~_PLACE).bitwiseOR(i.cast("long").bitwiseAND(_PLACE)))
-        least = F.slice(F.sort_array(ranked), 1, L)
-        in_order = F.sort_array(F.transform(least, lambda r: r.bitwiseAND(_PLACE)))
-        return F.xxhash64(F.transform(in_order, lambda i: F.element_at(items, (i + 1).cast("int"))["kmer"]), f)
+    def least(ranks: Column) -> Column:
+        """The L least ranks, fewer of a short text."""
+        out = []
+        for _ in range(L):
+            out.append(F.array_min(ranks))
+            ranks = F.array_remove(ranks, out[-1])
+        return F.array_compact(F.array(*out))
+
+    def value(s: Column, names: Column, f: Column) -> Column:
+        def of(ranks: Column) -> Column:
+            chosen = F.transform(least(ranks), lambda r: F.element_at(s, F.array_position(ranks, r).cast("int")))
+            in_order = F.sort_array(F.transform(chosen, lambda e: F.struct(e.bitwiseAND(_PLACE).alias("place"), e.bitwiseAND(~_PLACE).alias("kmer"))))
+            return F.xxhash64(F.transform(in_order, lambda x: x["kmer"]), f)
+
+        return let(F.transform(names, lambda name: F.xxhash64(name, f)), of)
 
     units = F.regexp_extract_all(text, F.lit(UNIT), 0)
-    return let(_numbered(let(_kmers(units), _sampled)), lambda items: F.transform(F.sequence(F.lit(1), F.lit(FUNCTIONS)), lambda f: value(items, f)))
+    return let(_kmers(units), lambda s: let(_names(s), lambda names: F.transform(F.sequence(F.lit(1), F.lit(FUNCTIONS)), lambda f: value(s, names, f))))
 
 
 def as_text(signature_: Column) -> Column:
