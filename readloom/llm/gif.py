@@ -363,4 +363,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))))
+    return digests(to_media(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), compress=True))

@@ -1,10 +1,14 @@
 """Training-data operators against models that leave nothing out."""
 
+import hashlib
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm import order_minhash
+from readloom.llm import chosen_path, gif, order_minhash, pieces
 
 
 def test_every_order_ranks_all_numbered_kmers(spark):
@@ -30,3 +34,11 @@ def test_every_order_ranks_all_numbered_kmers(spark):
     for x in rows.select("d", "f", F.xxhash64(F.transform("least", lambda x: x["kmer"]), "f").bitwiseAND(0xFFFFFFFF).alias("v")).orderBy("d", "f").collect():
         want.setdefault(x.d, []).append(x.v)
     assert got == want
+
+
+def test_stored_media_are_dictionary_streams(spark, tmp_path):
+    text = "to be or not to be " * 400
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in gif.query(spark, str(tmp_path)).collect()}
+    assert rows[1].media_bytes < rows[1].n_bytes == len(text)
+    assert rows[1].payload_sha256 == hashlib.sha256(gif.payload_of(np.frombuffer(text.encode(), np.uint8)).tobytes()).hexdigest()
