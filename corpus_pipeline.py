@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces and ids_crc32 of every copy."""
+    """doc_id, ids, n_pieces and ids_crc32 of every copy, and sha256 and length of its decoded text."""
     return pieces.stage(spark, docs, sf_dir)
 
 

@@ -310,14 +310,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces and ids_crc32 of every document in the order it comes, in one pass."""
+    """doc_id, ids, n_pieces, ids_crc32, and sha256 and length of the text decoded from the ids, of every document in the order it comes, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(MODEL)
         for batch in _encoded(MODEL, batches):
             lists = batch.column("ids")
+            texts = [decode_ids(model, x.values.to_numpy()) if x.is_valid else None for x in lists]
+            sha = [t if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+            chars = [t if t is None else len(t) for t in texts]
             counts = [len(x.values) if x.is_valid else None for x in lists]
             crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "ids", "n_pieces", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "decoded_chars"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, decoded_sha256 string, decoded_chars long")

@@ -42,3 +42,11 @@ def test_stored_media_are_dictionary_streams(spark, tmp_path):
     rows = {r.doc_id: r for r in gif.query(spark, str(tmp_path)).collect()}
     assert rows[1].media_bytes < rows[1].n_bytes == len(text)
     assert rows[1].payload_sha256 == hashlib.sha256(gif.payload_of(np.frombuffer(text.encode(), np.uint8)).tobytes()).hexdigest()
+
+
+def test_last_stage_decodes_its_ids(spark):
+    texts = ["hello  world\n", "", None, "漢字 é"]
+    rows = {r.doc_id: r for r in pieces.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    for i, t in enumerate(texts):
+        want = (None, None) if t is None else (hashlib.sha256(t.encode()).hexdigest(), len(t))
+        assert (rows[i].decoded_sha256, rows[i].decoded_chars) == want
