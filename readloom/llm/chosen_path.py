@@ -11,7 +11,8 @@ independent runs reach any target recall (four give 0.99998). Buckets of at most
 brute force. So are buckets that a split leaves nearly whole (their members really are alike, splitting cannot help);
 larger ones are cut into blocks, a task compares two blocks, so neither one task nor the driver ever holds a group.
 
-In a bucket, min-hash agreement first picks the classes that may have a partner; only their texts travel, and the exact
+In a bucket, agreement of the sketches first picks the classes that may have a partner (``agreements_for`` and
+``runs_for`` take half of the allowed failures each, so recall counts both); only their texts travel, and the exact
 similarity of their sets decides. A pair counts in its first common bucket only, so partial counts add up and no list
 of all pairs of a group is ever made: the result is one row a document.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -212,18 +214,24 @@ def _wanted(group: pa.Table, i: int, j: int) -> np.ndarray:
     return side[:, None] != side[None, :]
 
 
-#: agreements of COORDINATES that a pair of the least similarity misses once in some 20,000 pairs
-_LEAST_AGREE = int(COORDINATES * SIMILARITY - 4 * math.sqrt(COORDINATES * SIMILARITY * (1 - SIMILARITY)))
+def agreements_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """The most of COORDINATES sketch values that may be asked for, so that a pair of that similarity has them with that probability."""
+    missed = 0.0
+    for t in range(COORDINATES + 1):
+        missed += math.comb(COORDINATES, t) * similarity**t * (1 - similarity) ** (COORDINATES - t)
+        if missed > 1 - recall:
+            return t
+    return COORDINATES
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(least_agree: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that may have a partner whom they meet in no earlier bucket."""
     for (bucket, i, j), group in _grouped(batches):
         n = group.num_rows
         short = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(n, COORDINATES)
         maybe = np.zeros((n, n), bool)
         for lo in range(0, n, 64):
-            maybe[lo : lo + 64] = (short[lo : lo + 64, None, :] == short[None]).sum(2) >= _LEAST_AGREE
+            maybe[lo : lo + 64] = (short[lo : lo + 64, None, :] == short[None]).sum(2) >= least_agree
         maybe &= _wanted(group, i, j)
         if maybe.any():
             maybe &= _not_earlier(group, bucket)
@@ -306,16 +314,18 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     class_id: the least doc_id of the documents that links connect; copy_id: that of the documents with an equal set;
     n_links: other documents of similarity 0.8 or more; n_copies: documents with an equal set, itself included.
     """
+    # Runs and sketch filter may miss half of the failures each.
+    share = (1 + recall) / 2
     rows = durable(sketches(docs), "cpj-sketches")
     classes = durable(rows.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "cpj-classes")
-    members = durable(buckets(rows.select("class", "n", "minima"), runs_for(recall)), "cpj-buckets")
+    members = durable(buckets(rows.select("class", "n", "minima"), runs_for(share)), "cpj-buckets")
     lists = members.groupBy("class").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
     short = rows.groupBy("class").agg(F.first("short").alias("short"))
     dealt = _tasks(members.join(lists.join(short, "class"), "class"))
     kept = "bucket long, class binary, n int, buckets array<long>, i int, j int, side boolean"
     sorted_ = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     order = ["bucket", "class", "n", "buckets", "i", "j", "side"]
-    chosen = durable(sorted_(dealt.select(*order, "short")).mapInArrow(lean(_candidates), kept), "cpj-candidates")
+    chosen = durable(sorted_(dealt.select(*order, "short")).mapInArrow(lean(partial(_candidates, agreements_for(share))), kept), "cpj-candidates")
     wanted = chosen.select("class").distinct().join(classes, "class").select("class", "copies", "first.doc_id", "first.text_hash")
     texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text_or_empty()).alias("__hash"), text_or_empty().alias("text"))
     texts = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("text_hash"))).select("class", "copies", "text")

@@ -50,3 +50,13 @@ def test_last_stage_decodes_its_ids(spark):
     for i, t in enumerate(texts):
         want = (None, None) if t is None else (hashlib.sha256(t.encode()).hexdigest(), len(t))
         assert (rows[i].decoded_sha256, rows[i].decoded_chars) == want
+
+
+@pytest.mark.parametrize("recall", [0.9, 0.9999, 1 - 1e-9])
+def test_recall_counts_the_sketch_filter(recall):
+    share = (1 + recall) / 2
+    least = chosen_path.agreements_for(share)
+    n, s = chosen_path.COORDINATES, chosen_path.SIMILARITY
+    missed = sum(math.comb(n, t) * s**t * (1 - s) ** (n - t) for t in range(least))
+    assert missed + 0.0625 ** chosen_path.runs_for(share) <= 1 - recall
+    assert chosen_path.agreements_for(1 - 1e-9) < chosen_path.agreements_for(0.9999) <= 84
