@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import durable, lean, mix64, prefix_hashes, range_hashes, spans, table, text_chunks, text_or_empty
+from readloom.llm.common import durable, lean, mix64, range_hashes, spans, table, text_chunks, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -63,7 +63,7 @@ def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
 def shingles(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """The sorted set of 64-bit shingle hashes of each text."""
     start, end, first = spans(data, offs)
-    h = range_hashes(prefix_hashes(data), start, end)
+    h = range_hashes(data, start, end)
     n = len(h)
     whole = np.zeros(max(0, n - WORDS + 1), np.uint64)
     for k in range(WORDS):

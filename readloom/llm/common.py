@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +18,12 @@ _LOCAL_SHARED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of a local session without it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = "file://" + tempfile.mkdtemp(prefix="readloom-")
@@ -28,7 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/readloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/readloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that are still to be read need it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/readloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -114,20 +124,6 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = {"pow": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["pow"]) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS["pow"], _POWERS["inv"]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64) over an unsigned array."""
     x = x ^ (x >> np.uint64(30))
@@ -150,18 +146,39 @@ def spans(data: np.ndarray, offs: np.ndarray, outside: np.ndarray = WHITE) -> tu
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums: the hash of any byte range follows by one subtraction and one product."""
-    p, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=out[1:])
-    return out
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([0] + [(1 << 8 * n) - 1 for n in range(1, 9)], np.uint64)
 
 
-def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal bytes have equal hashes wherever they stand."""
-    _, inv = _powers(len(prefix))
-    return mix64((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; equal bytes have equal hashes wherever they stand.
+
+    Every eight bytes are mixed twice, with their place in the range, before they are summed: no pattern of the bytes
+    can cancel, as it can in a polynomial modulo a power of two. ``seed`` gives hashes that stay in one process.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    salt = np.uint64(seed) + _ODD
+    total = mix64(mix64((eights[starts] & _KEEP[np.minimum(size, 8)]) ^ salt) + _ODD)
+    long_ = np.flatnonzero(size > 8)
+    if len(long_):
+        more = (size[long_] - 1) >> 3
+        first = np.cumsum(more) - more
+        step = 1 << 20  # ranges are taken in groups, so that one long text needs no more than its own bytes again
+        lo = 0
+        while lo < len(long_):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + step)))
+            own, n = long_[lo:hi], more[lo:hi]
+            k = np.arange(int(n.sum())) - np.repeat(first[lo:hi] - first[lo], n) + 1
+            at = np.repeat(starts[own], n) + 8 * k
+            block = eights[at] & _KEEP[np.minimum(np.repeat(ends[own], n) - at, 8)]
+            block = np.cumsum(mix64(mix64(block ^ salt) + _ODD * (k + 1).astype(np.uint64)))
+            upto = np.cumsum(n) - 1
+            total[own] += np.diff(block[upto], prepend=np.uint64(0))
+            lo = hi
+    return mix64(total + size.astype(np.uint64))
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import lean, prefix_hashes, range_hashes, shared_path, spans, sums, table, text_chunks, text_or_empty
+from readloom.llm.common import lean, range_hashes, shared_path, spans, sums, table, text_chunks, text_or_empty
 
 BLOCK_IDS = 1 << 17
 END_ID = 1
@@ -154,8 +154,8 @@ class WordTokenizer:
     """Encodes by distinct word: the tokenizer drops white space and never joins words over it.
 
     A run of Latin letters and the ASCII marks behind it are pieces of their own to the tokenizer, and it folds case,
-    so ``Word,`` takes its ids from ``word`` and ``,``. Words are known by 64-bit hashes of their bytes, in a memory that
-    is emptied at ``most`` words; that changes no result.
+    so ``Word,`` takes its ids from ``word`` and ``,``. Words are known by 64-bit hashes of their bytes, seeded anew in each
+    worker, in a memory that is emptied at ``most`` words; neither changes a result.
     """
 
     #: a word of its own to the tokenizer, one id, that separates the words of one call
@@ -165,7 +165,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.seed = Tokenizer.from_file(path), most, int.from_bytes(os.urandom(8)) >> 1
         self.tokenizer.no_truncation()
         mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode(f"a {self.MARK} a", add_special_tokens=False).ids[1:2] == mark else None
@@ -235,7 +235,7 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8 bytes and n+1 offsets) in order, and the count of each text's."""
         start, end, first = spans(data, offs)
-        h = range_hashes(prefix_hashes(data), start, end)
+        h = range_hashes(data, start, end, self.seed)
         at = self.index.find(h)
         miss = np.flatnonzero(at < 0)
         if len(miss):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, fold_of, lean, prefix_hashes, range_hashes, spans, sums, table, text_chunks, text_or_empty
+from readloom.llm.common import LOWER, fold_of, lean, range_hashes, spans, sums, table, text_chunks, text_or_empty
 
 BITS = 18
 MAX_TRAIN = 10_000
@@ -45,13 +45,13 @@ def sentence_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashed words of each sentence, each sentence's first word, each row's first sentence, the sentences' byte spans."""
     s_start, s_end, row_first = spans(data, offs, _STOP)
     w_start, w_end, _ = spans(data, np.unique(np.concatenate([offs, s_start])), _NOT_WORD)
-    prefix, chars = prefix_hashes(LOWER[data]), np.flatnonzero((data & 0xC0) != 0x80)
+    lower, chars = LOWER[data], np.flatnonzero((data & 0xC0) != 0x80)
     begun, chars = np.searchsorted(chars, w_start), np.append(chars, [len(data)] * (max(STEMS) + 1))
-    found, at = [range_hashes(prefix, w_start, w_end)], [w_start]
+    found, at = [range_hashes(lower, w_start, w_end)], [w_start]
     for n in STEMS:
         end = chars[begun + n]
         longer = end < w_end
-        found.append(range_hashes(prefix, w_start[longer], end[longer]))
+        found.append(range_hashes(lower, w_start[longer], end[longer]))
         at.append(w_start[longer])
     at = np.concatenate(at)
     order = np.argsort(at, kind="stable")
