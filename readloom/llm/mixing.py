@@ -125,7 +125,7 @@ def plan(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BU
     taken = F.aggregate(passes, F.lit(0).cast("long"), lambda s, p: s + F.greatest(F.lit(0), F.least(F.col("size"), whole - begin(p))))
     middle = lambda p: begin(p) + F.col("size") / 2
     positions = F.transform(F.filter(passes, lambda p: middle(p) < F.col("target")), lambda p: _invert(F.col("segments"), F.col("area"), middle(p) / F.col("target")))
-    return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("taken"), F.size(positions).alias("copies"), positions.alias("positions"))
+    return placed.select("doc_id", "source", "spot", "text_hash", "size", "source_size", "target", taken.alias("taken"), F.size(positions).alias("copies"), positions.alias("positions"))
 
 
 def mix(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST, position: str | None = None) -> DataFrame:
@@ -145,9 +145,29 @@ def mix(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUD
     return out.select(*[out[c] for c in docs.columns], *([F.col("__position").alias(position)] if position else []))
 
 
+def training_order(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """The plan with each document's first_position and first_place: its first copy's time and place in the training order.
+
+    The order is that of :func:`mix`: copies are range-sorted by position (rounded to 9 digits; then by md5 and id), and
+    a copy's place is the count of copies before it. Both are null for a document without copies.
+    """
+    rows = durable(plan(docs, schedules, budget, most).withColumn("row", F.monotonically_increasing_id()), "mix-plan")
+    copies = rows.select("row", "doc_id", "text_hash", "spot", F.posexplode("positions").alias("nth", "position"))
+    order = [F.round("position", 9), F.col("spot"), F.col("doc_id"), F.col("nth"), F.col("text_hash"), F.col("row")]
+    # Written once, so that ranges are the same for both readings below.
+    copies = durable(copies.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-order")
+    # One row a range: as many as the sort had tasks.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = copies.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    placed = copies.join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
+    first = placed.groupBy("row").agg(F.min("place").alias("first_place"), F.min("position").alias("first_position"))
+    return rows.join(first, "row", "left").drop("row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = plan(table(spark, sf_dir, "documents"))
-    return chosen.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    chosen = training_order(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken", "copies", F.round("first_position", 6).alias("first_position"), "first_place")
 
 
 ORACLE = """
@@ -155,7 +175,11 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM d GROUP BY source),
 c AS (SELECT *, CASE (rnk - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, cap / weight AS per_weight, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, per_weight) FROM l WHERE per_weight > level) * weight, cap)) AS target FROM l),
-p AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - b)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - b - source_size)) AS BIGINT) AS taken FROM p
+t AS (SELECT source, source_size, weight, CASE (rnk - 1) % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS lean, least(cap, coalesce((SELECT arg_min(level, per_weight) FROM l WHERE per_weight > level) * weight, cap)) AS target FROM l),
+p AS (SELECT doc_id, size, source_size, target, spot, weight, weight * (1 - lean) AS w, weight * (1 + lean) - weight * (1 - lean) AS dw, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY spot, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT doc_id, spot, nth, w, dw, (b + nth * source_size + size / 2) / target * ((w + dw / 2) * 1.0::DOUBLE) AS want FROM p, (VALUES (0), (1)) AS n(nth) WHERE b + nth * source_size + size / 2 < target),
+o AS (SELECT doc_id, nth, least(1.0::DOUBLE, CASE WHEN w + sqrt(w * w + 2 * dw * want) > 0 THEN 2 * want / (w + sqrt(w * w + 2 * dw * want)) ELSE 0 END) AS position, spot FROM k),
+r AS (SELECT doc_id, position, row_number() OVER (ORDER BY round(position, 9), spot, doc_id, nth) - 1 AS place FROM o),
+f AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS copies, round(min(position), 6) AS first_position, min(place) AS first_place FROM r GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, round(target, 4) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - b)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - b - source_size)) AS BIGINT) AS taken, coalesce(copies, 0) AS copies, first_position, first_place FROM p LEFT JOIN f USING (doc_id)
 """
