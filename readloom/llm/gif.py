@@ -1,11 +1,15 @@
 """GIF media columns: write byte payloads as 8-bit indexed frames, decode any GIF back to timed frames with histograms.
 
 The decoder follows the GIF89a format: LZW code streams of growing width, global and local palettes, interlacing,
-graphic-control delays, transparency and the four disposal rules. A code after the first of a table refers to an
-earlier place of its own output, so a stream is first cut into codes by arrays and then copied place by place; streams
-of literals only are decoded by arrays alone. The writer stores payload bytes as palette indices of a grey palette,
-64 pixels a row and ``ROWS`` rows a frame, with a table reset before codes grow past nine bits (or, with
-``compress=True``, as a full LZW dictionary stream).
+graphic-control delays, transparency and the four disposal rules. The writer stores payload bytes as palette indices of
+a grey palette, 64 pixels a row and ``ROWS`` rows a frame, as dictionary streams with a clear code every ``SEGMENT``
+samples.
+
+Both ends work on all streams of a batch at once. Writing, the segments of all frames advance together, a sample each
+step; a segment's dictionary is one slot for each hash of (word, sample), where a later word may displace an earlier
+one, which costs a match and never changes what the stream says. Reading, a code after the first of a table stands for
+an earlier place of the output and the sample after it, so lengths and then samples are found by following all
+references together, twice as far in every round.
 
 Defined results: a null text counts as empty; an empty text is one row of 64 zero samples; repeated rows give equal
 media; a null id is carried through; bytes that are no GIF raise ValueError in :func:`decode` and give no frames in
@@ -19,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,146 +36,180 @@ WIDTH = 64
 ROWS = 1024
 DELAY_MS = 100
 BINS = 8
+#: bytes of frames or files that are worked on at once; a longer one stands alone
+BATCH = 1 << 21
 
 
 # ---- LZW ----------------------------------------------------------------------------------------
 
 
-def _literal_codes(pixels: np.ndarray) -> np.ndarray:
-    """Nine-bit codes: a clear code before every 254 literals, the end code last."""
-    n = len(pixels)
-    groups = -(-n // 254)
-    codes = np.full((groups, 255), 256, np.uint64)
-    body = np.zeros(groups * 254, np.uint64)
-    body[:n] = pixels
-    codes[:, 1:] = body.reshape(groups, 254)
-    return np.append(codes.reshape(-1)[: n + groups], np.uint64(257))
-
-
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    c = np.zeros((-(-len(codes) // 8), 8), np.uint64)
-    c.reshape(-1)[: len(codes)] = codes
-    low = c[:, 0].copy()
-    for k in range(1, 8):
-        low |= c[:, k] << np.uint64(9 * k)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = c[:, 7] >> np.uint64(1)
-    return out.reshape(-1)[: (9 * len(codes) + 7) // 8]
-
-
-def _unpack9(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    d = np.zeros((-(-len(data) // 9), 9), np.uint8)
-    d.reshape(-1)[: len(data)] = data
-    low = np.ascontiguousarray(d[:, :8]).view("<u8").reshape(-1)
-    out = np.empty((len(d), 8), np.int64)
-    for k in range(7):
-        out[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-    out[:, 7] = (low >> np.uint64(63)).astype(np.int64) | (d[:, 8].astype(np.int64) << 1)
-    return out.reshape(-1)[:n]
-
-
-def lzw_compress(pixels: np.ndarray, size: int = 8) -> bytes:
-    """A dictionary LZW stream; the table is reset when it is full."""
-    clear, stop = 1 << size, (1 << size) + 1
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(held & 255)
-            held >>= 8
-            bits -= 8
-
-    table, width, free, word = {}, size + 1, stop + 1, -1
-    put(clear, width)
-    for p in pixels.tolist():
-        if word < 0:
-            word = p
-        elif (word, p) in table:
-            word = table[word, p]
-        else:
-            put(word, width)
-            if free == 4096:
-                put(clear, width)
-                table, width, free = {}, size + 1, stop + 1
-            else:
-                table[word, p] = free
-                width += free == 1 << width
-                free += 1
-            word = p
-    if word >= 0:
-        put(word, width)
-        width += free == 1 << width and width < 12
-    put(stop, width)
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
-
-
-def _widths(size: int, n: int) -> np.ndarray:
-    """Bits of each code after a clear code: as wide as the next free place of the table, 12 at most."""
+#: samples between clear codes: so few that a table of 4096 codes is never full
+SEGMENT = 3584
+_SLOTS = 1 << 23
+_HASH = np.uint32(0x9E3779B1)
+
+
+@lru_cache(maxsize=16)
+def _ends(size: int, n: int) -> np.ndarray:
+    """Bits from a clear code to the end of each of the n next codes: as wide as the next free code, 12 at most."""
     free = (1 << size) + 1 + np.arange(n)
     free[0] += 1
-    return np.clip(np.floor(np.log2(free)).astype(np.int64) + 1, size + 1, 12)
+    return np.cumsum(np.clip(np.floor(np.log2(free)).astype(np.int64) + 1, size + 1, 12))
+
+
+def _words(lanes: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """The codes of segments, all of them a sample further in every step."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(lanes)
+    order = sorted((i for i in range(len(lanes)) if len(lanes[i])), key=lambda i: -len(lanes[i]))
+    while order:
+        longest = len(lanes[order[0]])
+        bits = max(4, (2 * longest - 1).bit_length())
+        own, order = order[: _SLOTS >> bits], order[_SLOTS >> bits :]
+        length = np.array([len(lanes[i]) for i in own])
+        samples = np.zeros((longest, len(own)), np.uint32)
+        for k, i in enumerate(own):
+            samples[: length[k], k] = lanes[i]
+        table = np.full(len(own) << bits, 0xFFFFFFFF, np.uint32)  # no word has this many bits set
+        base, free, word = np.arange(len(own)) << bits, np.full(len(own), (1 << size) + 2, np.uint32), samples[0].copy()
+        codes = np.full((longest, len(own)), -1, np.int16)
+        alive = np.searchsorted(-length, -np.arange(longest), side="left").tolist()  # longer than t
+        for t in range(1, longest):
+            n = alive[t]
+            codes[t - 1, n : alive[t - 1]] = word[n : alive[t - 1]]  # these end here
+            now = samples[t, :n]
+            key = word[:n] << np.uint32(8) | now
+            slot = base[:n] + (key * _HASH >> np.uint32(32 - bits))
+            found = table[slot]
+            miss = np.flatnonzero(found >> np.uint32(12) != key)
+            codes[t - 1, miss] = word[miss]
+            table[slot[miss]] = key[miss] << np.uint32(12) | free[miss]
+            free[miss] += np.uint32(1)
+            word[:n] = found & np.uint32(4095)
+            word[miss] = now[miss]
+        codes[longest - 1, : alive[-1]] = word[: alive[-1]]
+        columns = np.ascontiguousarray(codes.T)
+        for k, i in enumerate(own):
+            out[i] = columns[k][columns[k] >= 0].astype(np.uint32)
+    return out
 
 
-def lzw_decode(data: np.ndarray, size: int, pixels: int) -> np.ndarray:
-    """The first ``pixels`` samples of a code stream; missing ones are 0."""
+def lzw_encode(frames: list[np.ndarray], size: int = 8) -> list[np.ndarray]:
+    """The code streams of many frames' samples, as bytes."""
+    clear, stop = 1 << size, (1 << size) + 1
+    cuts = [list(range(0, max(1, len(f)), SEGMENT)) for f in frames]
+    words = _words([f[a : a + SEGMENT] for f, at in zip(frames, cuts, strict=True) for a in at], size)
+    ends, out, k = _ends(size, SEGMENT + 2), [], 0
+    codes, upto, first = [], [], []
+    total = 0
+    for at in cuts:
+        first.append(total)
+        codes.append(np.array([clear], np.uint32))
+        upto.append(np.array([total + size + 1]))
+        total += size + 1
+        for j in range(len(at)):
+            own = words[k]
+            k += 1
+            codes += [own, np.array([clear if j + 1 < len(at) else stop], np.uint32)]
+            upto.append(total + ends[: len(own) + 1])
+            total += int(ends[len(own)])
+        total = -(-total // 8) * 8
+    code, end = np.concatenate(codes).astype(np.uint64), np.concatenate(upto)
+    # A code begins where the one before it ends, but for those at the start of a byte of their own.
+    begin = np.concatenate([[0], end[:-1]])
+    lengths = np.array([1 + sum(len(words[i]) + 1 for i in range(a, b)) for a, b in zip(np.cumsum([0] + [len(c) for c in cuts])[:-1], np.cumsum([len(c) for c in cuts]), strict=True)])
+    begin[np.cumsum(lengths) - lengths] = first
+    value, byte = code << (begin & 7).astype(np.uint64), begin >> 3
+    data = np.zeros(total // 8 + 3)
+    for part in range(3):  # codes never share a bit, so sums are unions
+        data += np.bincount(byte + part, (value >> np.uint64(8 * part) & np.uint64(255)).astype(float), len(data))
+    data = data.astype(np.uint8)
+    bounds = [*first, total]
+    return [data[a // 8 : b // 8] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _cut(data: np.ndarray, size: int) -> list[np.ndarray]:
+    """The codes of a stream, an array for each table; checks that each refers to a code before it."""
+    if not 2 <= size <= 11:
+        raise ValueError("LZW code size out of range")
     clear, stop = 1 << size, (1 << size) + 1
-    out = np.zeros(pixels, np.uint8)
-    if size == 8 and len(data):
-        codes = _unpack9(data)
-        ends = np.flatnonzero(codes == stop)
-        codes = codes[: ends[0]] if len(ends) else codes
-        resets = np.flatnonzero(codes == clear)
-        if len(resets) and resets[0] == 0 and codes.max(initial=0) <= clear and np.diff(resets, append=len(codes)).max() <= 255:
-            found = codes[codes < clear][:pixels]  # literals only: no code ever grows
-            out[: len(found)] = found
-            return out
     padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
-    at, filled, total = 0, 0, len(data) * 8
-    ask = 512
-    while filled < pixels and at + size + 1 <= total:
-        width = _widths(size, ask)
-        begin = at + np.concatenate([[0], np.cumsum(width)[:-1]])
-        inside = begin + width <= total
-        begin, width = begin[inside], width[inside]
+    at, total, ask, out = 0, len(data) * 8, 4096, []
+    while at + size + 1 <= total:
+        ends = at + _ends(size, ask)[: (total - at) // (size + 1)]
+        begin = np.concatenate([[at], ends[:-1]])
+        begin, ends = begin[ends <= total], ends[ends <= total]
         byte = begin >> 3
-        codes = ((padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (begin & 7)) & ((1 << width) - 1)
+        codes = ((padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (begin & 7)) & ((1 << (ends - begin)) - 1)
         marks = np.flatnonzero((codes == clear) | (codes == stop))
-        if not len(marks) and inside.all() and ask < 1 << 20:
+        if not len(marks) and len(codes) == ask:
             ask *= 4
             continue
         last = int(marks[0]) if len(marks) else len(codes)
-        starts, place = [], filled
-        for k, code in enumerate(codes[:last].tolist()):
-            starts.append(place)
-            if code < clear:
-                take = 1
-                if place < pixels:
-                    out[place] = code
-            else:
-                j = code - stop - 1
-                if j >= k:
-                    raise ValueError("LZW code beyond the table")
-                source = starts[j]
-                take = (starts[j + 1] if j + 1 < k else place) - source + 1
-                for i in range(take if take <= 16 or source + take > place else 0):
-                    if place + i < pixels:
-                        out[place + i] = out[source + i]
-                if take > 16 and source + take <= place:
-                    n = max(0, min(take, pixels - place))
-                    out[place : place + n] = out[source : source + n]
-            place += take
-        filled = min(place, pixels)
+        own = codes[:last]
+        if (own - stop - 1 >= np.arange(last)).any():
+            raise ValueError("LZW code beyond the table")
+        out.append(own)
         if not len(marks) or codes[last] == stop:
             break
-        at = int(begin[last] + width[last])
-        ask = 512
+        at, ask = int(ends[last]), 4096
+    return out
+
+
+def lzw_decode(streams: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray | ValueError]:
+    """The first samples of many code streams, given as bytes, code size and count of samples; missing ones are 0.
+
+    A stream whose codes can't be read gives the error instead.
+    """
+    out: list[np.ndarray | ValueError] = []
+    tables, clear, owner = [], [], []
+    for i, (data, size, pixels) in enumerate(streams):
+        try:
+            found = _cut(data, size)
+            out.append(np.zeros(pixels, np.uint8))
+        except ValueError as e:
+            found = []
+            out.append(e)
+        tables += found
+        clear += [1 << size] * len(found)
+        owner += [i] * len(found)
+    if not sum(map(len, tables)):
+        return out
+    counts = np.array([len(t) for t in tables])
+    code, base = np.concatenate(tables), np.repeat(np.array(clear), counts)
+    start = np.repeat(np.cumsum(counts) - counts, counts)
+    itself = np.arange(len(code))
+    up = np.where(code < base, itself, start + code - base - 2)
+    length, far = (up != itself).astype(np.int64), up
+    while True:  # references to a literal, followed twice as far each round
+        further = far[far]
+        if (further == far).all():
+            break
+        length, far = length + length[far], further
+    length += 1
+    # What lies beyond the asked samples is not written out.
+    of = np.repeat(np.array(owner), counts)
+    before = np.cumsum(length) - length
+    begin = before[np.searchsorted(of, np.arange(len(streams)))[of]]
+    asked = np.array([s[2] for s in streams])
+    keep = before - begin < asked[of]
+    length, up, code, of = length * keep, up, code, of
+    at = np.cumsum(length) - length
+    source = np.repeat(at[up] - at, length) + np.arange(int(length.sum()))
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    value = np.zeros(len(source), np.uint8)
+    literal = keep & (up == itself)
+    value[at[literal]] = code[literal]
+    value = value[source]
+    bounds = np.bincount(of, length, len(streams)).astype(np.int64)
+    ends = np.cumsum(bounds)
+    for i, (n, end) in enumerate(zip(bounds.tolist(), ends.tolist(), strict=True)):
+        if n:
+            n_out = min(n, int(asked[i]))
+            out[i][:n_out] = value[end - n : end - n + n_out]
     return out
 
 
@@ -189,15 +228,33 @@ def _blocks(body: np.ndarray) -> bytes:
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
-def encode(payload: np.ndarray, rows: int = ROWS, delay_ms: int = DELAY_MS, compress: bool = False) -> bytes:
+def encode_all(payloads: list[np.ndarray], rows: int = ROWS, delay_ms: int = DELAY_MS) -> list[bytes]:
+    """GIFs of many payloads' bytes as samples; their lengths are multiples of the width."""
+    step = rows * WIDTH
+    frames = [p[a : a + step] for p in payloads for a in range(0, len(p), step)]
+    bodies: list[bytes] = []
+    lo = 0
+    while lo < len(frames):  # frames of some megabytes at a time, however long one payload is
+        hi, held = lo, 0
+        while hi < len(frames) and (hi == lo or held + len(frames[hi]) <= BATCH):
+            held += len(frames[hi])
+            hi += 1
+        bodies += [_blocks(b) for b in lzw_encode(frames[lo:hi])]
+        lo = hi
+    out, k = [], 0
+    for p in payloads:
+        parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(p) // WIDTH, rows), 0xF7, 0, 0), _GREY]
+        for a in range(0, len(p), step):
+            height = len(p[a : a + step]) // WIDTH
+            parts += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_ms // 10, 0, 0), struct.pack("<BHHHHBB", 0x2C, 0, 0, WIDTH, height, 0, 8), bodies[k]]
+            k += 1
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
+
+
+def encode(payload: np.ndarray, rows: int = ROWS, delay_ms: int = DELAY_MS) -> bytes:
     """A GIF of the payload's bytes as samples; its length is a multiple of the width."""
-    height = len(payload) // WIDTH
-    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(height, rows), 0xF7, 0, 0), _GREY]
-    for top in range(0, height, rows):
-        own = payload[top * WIDTH : (top + rows) * WIDTH]
-        body = np.frombuffer(lzw_compress(own), np.uint8) if compress else _pack9(_literal_codes(own))
-        parts += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_ms // 10, 0, 0), struct.pack("<BHHHHBB", 0x2C, 0, 0, WIDTH, len(own) // WIDTH, 0, 8), _blocks(body)]
-    return b"".join([*parts, b"\x3b"])
+    return encode_all([payload], rows, delay_ms)[0]
 
 
 @dataclass
@@ -237,18 +294,30 @@ def _read_blocks(raw: np.ndarray, at: int) -> tuple[np.ndarray, int]:
             return np.concatenate(found), at
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames of a GIF, composed as a viewer shows them."""
+@dataclass
+class _Image:
+    """A frame as it stands in the file."""
+
+    delay: int
+    disposal: int
+    hidden: int
+    place: tuple[int, int, int, int]  #: left, top, width, height
+    interlaced: bool
+    colours: np.ndarray
+    stream: tuple[np.ndarray, int, int]
+
+
+def _parse(data: bytes) -> tuple[int, int, list[_Image]]:
+    """Width, height and images of a GIF."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     raw = np.frombuffer(data, np.uint8)
-    width, height, flags, background = struct.unpack_from("<HHBB", data, 6)
-    at, common = 13, None
+    width, height, flags, _ = struct.unpack_from("<HHBB", data, 6)
+    at, common, images = 13, None, []
     if flags & 0x80:
         n = 2 << (flags & 7)
         common = raw[at : at + 3 * n].reshape(n, 3)
         at += 3 * n
-    canvas, frames, clock = np.zeros((height, width, 4), np.uint8), [], 0
     delay, disposal, hidden = 0, 0, -1
     while at < len(raw) and raw[at] != 0x3B:
         kind = raw[at]
@@ -268,31 +337,72 @@ def decode(data: bytes) -> list[Frame]:
             if colours is None:
                 raise ValueError("GIF frame without a palette")
             body, end = _read_blocks(raw, at + 1)
-            index = lzw_decode(body, int(raw[at]), w * h).reshape(h, w)
-            at = end
-            if f & 0x40:
-                order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
-                straight = np.empty_like(index)
-                straight[order] = index
-                index = straight
-            before = canvas.copy() if disposal == 3 else None
-            area = canvas[top : top + h, left : left + w]
-            index = index[: area.shape[0], : area.shape[1]]
-            drawn = index != hidden
-            area[..., :3][drawn] = colours[np.minimum(index, len(colours) - 1)][drawn]
-            area[..., 3][drawn] = 255
-            frames.append(Frame(clock, delay, left, top, canvas.copy(), area.shape[0], area.shape[1]))
-            clock += delay
-            if disposal == 2:
-                area[...] = 0
-            elif disposal == 3:
-                canvas = before
-            delay, disposal, hidden = 0, 0, -1
+            images.append(_Image(delay, disposal, hidden, (left, top, w, h), bool(f & 0x40), colours, (body, int(raw[at]), w * h)))
+            at, delay, disposal, hidden = end, 0, 0, -1
         else:
             raise ValueError(f"unknown GIF block {kind:#x}")
+    return width, height, images
+
+
+def _compose(width: int, height: int, images: list[_Image], samples: list[np.ndarray]) -> list[Frame]:
+    canvas, frames, clock = np.zeros((height, width, 4), np.uint8), [], 0
+    for image, index in zip(images, samples, strict=True):
+        left, top, w, h = image.place
+        index = index.reshape(h, w)
+        if image.interlaced:
+            order = np.concatenate([np.arange(0, h, 8), np.arange(4, h, 8), np.arange(2, h, 4), np.arange(1, h, 2)])
+            straight = np.empty_like(index)
+            straight[order] = index
+            index = straight
+        before = canvas.copy() if image.disposal == 3 else None
+        area = canvas[top : top + h, left : left + w]
+        index = index[: area.shape[0], : area.shape[1]]
+        paint = image.colours[np.minimum(index, len(image.colours) - 1)]
+        if image.hidden < 0:
+            area[..., :3], area[..., 3] = paint, 255
+        else:
+            drawn = index != image.hidden
+            area[..., :3][drawn], area[..., 3][drawn] = paint[drawn], 255
+        frames.append(Frame(clock, image.delay, left, top, canvas.copy(), area.shape[0], area.shape[1]))
+        clock += image.delay
+        if image.disposal == 2:
+            area[...] = 0
+        elif image.disposal == 3:
+            canvas = before
     return frames
 
 
+def decode_all(media: list[bytes]) -> Iterator[list[Frame] | ValueError]:
+    """All frames of each GIF, composed as a viewer shows them; an error for bytes that are none."""
+    lo = 0
+    while lo < len(media):
+        parsed, hi, held = [], lo, 0
+        while hi < len(media) and (hi == lo or held + len(media[hi]) <= BATCH):
+            held += len(media[hi])
+            try:
+                parsed.append(_parse(media[hi]))
+            except (ValueError, struct.error, IndexError) as e:
+                parsed.append(ValueError(str(e)))
+            hi += 1
+        samples = iter(lzw_decode([i.stream for x in parsed if not isinstance(x, ValueError) for i in x[2]]))
+        for x in parsed:
+            if isinstance(x, ValueError):
+                yield x
+                continue
+            own = [next(samples) for _ in x[2]]
+            wrong = [e for e in own if isinstance(e, ValueError)]
+            yield wrong[0] if wrong else _compose(*x, own)
+        lo = hi
+
+
+def decode(data: bytes) -> list[Frame]:
+    """All frames of a GIF, composed as a viewer shows them."""
+    found = next(decode_all([data]))
+    if isinstance(found, ValueError):
+        raise found
+    return found
+
+
 def payload_of(text: np.ndarray) -> np.ndarray:
     """The bytes with zeros up to a positive multiple of the width."""
     out = np.zeros(max(1, -(-len(text) // WIDTH)) * WIDTH, np.uint8)
@@ -303,13 +413,13 @@ def payload_of(text: np.ndarray) -> np.ndarray:
 # ---- columns ------------------------------------------------------------------------------------
 
 
-def to_media(docs: DataFrame, compress: bool = False) -> DataFrame:
+def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes of the text and its GIF in ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column("text")):
-                media = [encode(payload_of(data[a:b]), compress=compress) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                media = encode_all([payload_of(data[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offs), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -325,11 +435,9 @@ def frames(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for i, item in enumerate(batch.column("media")):
-                try:
-                    found, error = decode(item.as_py() or b""), None
-                except (ValueError, struct.error, IndexError) as e:
-                    found, error = [], str(e)
+            for i, found in enumerate(decode_all([m or b"" for m in batch.column("media").to_pylist()])):
+                error = str(found) if isinstance(found, ValueError) else None
+                found = [] if error is not None else found
                 rows = []
                 for k, x in enumerate(found):
                     h = x.histogram().reshape(3, -1).tolist()
@@ -345,9 +453,10 @@ def frames(media: DataFrame) -> DataFrame:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for item in batch.column("media"):
-            raw = item.as_py()
-            found = decode(raw)
+        media = batch.column("media").to_pylist()
+        for raw, found in zip(media, decode_all(media), strict=True):
+            if isinstance(found, ValueError):
+                raise found
             back = b"".join(x.shown()[..., 0].tobytes() for x in found)
             grey = sum(x.histogram()[:BINS] for x in found)
             feature = f"frames={len(found)};ms={sum(x.delay_ms for x in found)};size={found[0].canvas.shape[1]}x{found[0].canvas.shape[0]};grey={','.join(map(str, grey.tolist()))}"
@@ -363,4 +472,4 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(to_media(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))), compress=True))
+    return digests(to_media(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))))
