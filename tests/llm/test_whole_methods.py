@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -11,29 +12,77 @@ from pyspark.sql import functions as F
 from readloom.llm import chosen_path, gif, order_minhash, pieces
 
 
+def _spark_hashes(spark, rows):
+    """xxhash64 of each row of columns, in order."""
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"c{k} {'long' if isinstance(x, int) else 'string'}" for k, x in enumerate(rows[0])))
+    return [r[0] for r in frame.select("i", F.xxhash64(*[c for c in frame.columns if c != "i"]).alias("h")).orderBy("i").select("h").collect()]
+
+
 def test_every_order_ranks_all_numbered_kmers(spark):
-    r = random.Random(1)
-    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, n) for _ in range(900)) for n in (2, 40, 4000)] + ["a b", "a b c d", "x " * 500]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.signature for x in order_minhash.signatures(docs).collect()}
-    mask = ~order_minhash._PLACE
-    kmers = []
+    """A plain Order MinHash: all numbered k-mers ranked anew by each order, the least ones in text order."""
+    om, r = order_minhash, random.Random(1)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, n) for _ in range(900)) for n in (2, 40, 4000)] + ["a b", "a b c d", "x " * 500, "漢字 かな交じりabc ไทย d", "one\ttwo\u00a0three\x0bfour five"]
+    got = {x.doc_id: x.signature for x in om.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alone = lambda c: unicodedata.name(c, "-").split()[0] in ("CJK", "HIRAGANA", "KATAKANA", "THAI")
+    cut = ~om._PLACE
+
+    def split(t):
+        out, inside = [], False
+        for ch in t:
+            if alone(ch):
+                out, inside = [*out, ch], False
+            elif ch in " \t\n\x0b\x0c\r":
+                inside = False
+            else:
+                out[-1:] = [out[-1] + ch] if inside else [*out[-1:], ch]
+                inside = True
+        return out
+
     for d, t in enumerate(texts):
-        w, seen = t.split(), {}
-        for i in range(max(1, len(w) - 2)):
-            k = tuple(w[i : i + 3])
-            seen[k] = seen.get(k, 0) + 1
-            kmers.append((d, i, *(k + (k[-1],) * 3)[:3], len(k), seen[k]))
-    rows = spark.createDataFrame(kmers, "d long, place int, a string, b string, c string, n int, number int")
-    rows = rows.select("d", "place", "number", F.xxhash64(F.xxhash64("a"), F.xxhash64("b"), F.xxhash64("c"), "n").bitwiseAND(mask).alias("kmer"))
-    rows = rows.crossJoin(spark.range(1, order_minhash.FUNCTIONS + 1).select(F.col("id").cast("int").alias("f")))
-    rows = rows.withColumn("rank", F.xxhash64(F.xxhash64("kmer", "number"), "f"))
-    rows = rows.groupBy("d", "f").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "place", "kmer"))), 1, order_minhash.L).alias("least"))
-    rows = rows.select("d", "f", F.sort_array(F.transform("least", lambda x: F.struct(x["place"], x["kmer"]))).alias("least"))
-    want = {}
-    for x in rows.select("d", "f", F.xxhash64(F.transform("least", lambda x: x["kmer"]), "f").bitwiseAND(0xFFFFFFFF).alias("v")).orderBy("d", "f").collect():
-        want.setdefault(x.d, []).append(x.v)
-    assert got == want
+        w, seen = split(t), {}
+        kmers = [tuple(w[i : i + om.K]) for i in range(max(1, len(w) - om.K + 1))]
+        by_hash = [h & cut for h in _spark_hashes(spark, kmers)]
+        for k in kmers:
+            seen.setdefault(k, []).append(len(seen.get(k, [])) + 1)
+        numbers = {k: iter(v) for k, v in seen.items()}
+        numbered = [(h, next(numbers[k])) for h, k in zip(by_hash, kmers, strict=True)]
+        schema = "h long, n int"
+        names = [r.h if r.n == 1 else r.x & cut for r in spark.createDataFrame(numbered, schema).select("h", "n", F.xxhash64("h", "n").alias("x")).collect()]
+        tuples = []
+        for family in range(om.FAMILIES):
+            own = names if not family else [x.x & cut for x in spark.createDataFrame([(x,) for x in names], "h long").select(F.xxhash64("h", F.lit(family)).alias("x")).collect()]
+            for flip in range(om.FUNCTIONS // om.FAMILIES):
+                mask = flip << (64 - om._BITS)
+                rank = lambda i: ((own[i] | i) ^ mask) & (1 << 64) - 1
+                order = sorted(range(len(own)), key=lambda i: rank(i) - (1 << 64) if rank(i) >= 1 << 63 else rank(i))
+                tuples.append(([by_hash[i] for i in sorted(order[: om.L])], family, flip))
+        want = [x.v for x in spark.createDataFrame([(i, *x) for i, x in enumerate(tuples)], "i int, k array<long>, family int, flip int").select("i", F.xxhash64("k", "family", "flip").bitwiseAND(0xFFFFFFFF).alias("v")).orderBy("i").collect()]
+        assert got[d] == want, t[:40]
+
+
+def test_likeness_follows_independent_orders(spark):
+    """Orders that share a hash estimate the same likeness as orders that are all hashed apart."""
+    r = random.Random(2)
+    errors = []
+    for n in (12, 60, 400):
+        rows, pairs = [], []
+        for k in range(60):
+            a = [f"w{r.randrange(5000)}" for _ in range(n)]
+            b = a[:]
+            for _ in range(max(1, n // 30)):
+                b[r.randrange(n)] = "other"
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+            pairs.append((a, b))
+        sig = {x.doc_id: x.signature for x in order_minhash.signatures(spark.createDataFrame([(n * 1000 + i, t) for i, t in rows], "doc_id long, text string")).collect()}
+        got = np.mean([np.mean([x == y for x, y in zip(sig[n * 1000 + 2 * k], sig[n * 1000 + 2 * k + 1], strict=True)]) for k in range(60)])
+        want = []
+        for a, b in pairs:
+            ka, kb = ([tuple(x[i : i + 3]) for i in range(n - 2)] for x in (a, b))
+            for seed in range(64):
+                pick = lambda ks: [k for _, _, k in sorted(sorted((hashlib.blake2b(repr((seed, k)).encode(), digest_size=8).digest(), i, k) for i, k in enumerate(ks))[:2], key=lambda x: x[1])]  # noqa: E731, B023
+                want.append(pick(ka) == pick(kb))
+        errors.append(got - np.mean(want))
+    assert max(map(abs, errors)) < 0.08, errors
 
 
 def test_stored_media_are_dictionary_streams(spark, tmp_path):
