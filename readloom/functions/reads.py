@@ -18,9 +18,9 @@ OVERLAP_DIFF_LIMIT, OVERLAP_LEAST, OVERLAP_DIFF_SHARE = 5, 30, 0.20
 # Header patterns of the four platforms, in the order in which ties are broken (the last wins).
 PLATFORMS = {
     "Illumina": r"^@[^:\s]+:\d+:[^:\s]+:\d+:\d+:\d+:\d+(?:\s+[12]:[YN]:\d+:[A-Za-z0-9+_-]+)?\z",
+    "BGI/MGI": r"^@(?:V\d+|CL\d+|E\d+|MGI|DNBSEQ|BGI)[A-Za-z0-9_-]*(?:[/:#\s].*)?\z",
     "PacBio": r"^@[^/\s]+/\d+/\d+_\d+(?:\s.*)?\z",
     "Oxford Nanopore": r"^@[A-Za-z0-9-]+(?:\s+\S+=\S+)*\s+runid=[0-9a-fA-F-]+(?:\s+\S+=\S+)*\s+ch=\d+(?:\s+\S+=\S+)*\s+start_time=\S+",
-    "BGI/MGI": r"^@(?:V\d+|CL\d+|E\d+|MGI|DNBSEQ|BGI)[A-Za-z0-9_-]*(?:[/:#\s].*)?\z",
 }
 
 _PRINTABLE = "".join(map(chr, range(33, 127)))
@@ -70,7 +70,7 @@ def hamming(a: Column, b: Column) -> Column:
 def phred_label(least: Column, most: Column) -> Column:
     """The quality encoding that a range of raw ASCII values points at; the first rule that holds."""
     unknown = F.concat(F.lit("Unknown (ASCII "), least.cast("string"), F.lit("-"), most.cast("string"), F.lit(")"))
-    return F.when((least >= 33) & (most <= 74), "Phred33").when((least >= 64) & (most <= 104), "Phred64").when(least.isNotNull(), unknown)
+    return F.when((least >= 33) & (most <= 74), "Phred33").when((least >= 64) & (most <= 104), "Phred64").when(least.isNotNull(), unknown).otherwise("No qualities observed")
 
 
 def fnv1a(text: Column) -> Column:

@@ -18,6 +18,13 @@ def zipped(first: DataFrame, second: DataFrame, how: str = "full_outer", key: st
     return a.join(b, key, how)
 
 
+def by_position(reads: DataFrame, first: str, second: str, key: str = "record_index") -> DataFrame:
+    """The same pairs, outer, from one table of both files' records (column ``file``): one scan and one exchange."""
+    columns = [c for c in reads.columns if c not in ("file", key)]
+    of = lambda name: F.max(F.when(F.col("file") == name, F.struct(*columns)))
+    return reads.where(F.col("file").isin(first, second)).groupBy(key).agg(of(first).alias("r1"), of(second).alias("r2"))
+
+
 def name_check(pairs: DataFrame, key: str = "record_index") -> DataFrame:
     """Whole pairs with both read ids and whether they differ."""
     both = pairs.where(F.col("r1").isNotNull() & F.col("r2").isNotNull())

@@ -1,14 +1,18 @@
 """Quality aggregates over reads (columns seq, qual; one row a read).
 
 Totals need no explosion: counts of characters in a text come from its length before and after they are taken out.
-Per-position tables explode a read once and are aggregated at once by (position, base code), so a shuffle carries at
-most eight rows a position and task.
+Per-position tables and the quality histogram come from Arrow batches: the bytes of all reads of a batch are counted by
+(position, base code) or by value at once, so a task sends eight rows a position at most, whatever it read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +68,49 @@ def combined(*files: DataFrame, percent: bool = False) -> DataFrame:
     return summary(reduce(DataFrame.unionByName, sides), percent)
 
 
-def bases(reads: DataFrame) -> DataFrame:
-    """cycle (1-based), code and q (raw ASCII, null where missing), one row a base."""
-    zipped = F.arrays_zip(F.split("seq", "").alias("b"), F.split("qual", "").alias("q"))
-    each = _nonempty(reads).select(F.posexplode(zipped).alias("at", "z"))
-    return each.where(F.col("z.b").isNotNull() & (F.col("z.b") != "")).select((F.col("at") + 1).alias("cycle"), F.ascii("z.b").bitwiseAND(7).alias("code"), F.ascii("z.q").alias("q"))
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a text column, nulls as empty, and the bounds of its rows."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _count_cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((4, 0), np.int64)  # n, n_q20, n_q30, sum_q by cycle * 8 + code
+    for batch in batches:
+        seq, at = _bytes(batch.column("seq"))
+        qual, q_at = _bytes(batch.column("qual"))
+        size, q_size = np.diff(at), np.diff(q_at)
+        place = np.arange(len(seq)) - np.repeat(at[:-1], size)
+        cell = place * 8 + (seq & 7)
+        has = place < np.repeat(q_size, size)
+        q = qual[(np.repeat(q_at[:-1], size) + place)[has]].astype(np.int64)
+        width = int(size.max(initial=0)) * 8
+        if width > total.shape[1]:
+            total = np.pad(total, ((0, 0), (0, width - total.shape[1])))
+        own = cell[has]
+        total[0, :width] += np.bincount(cell, minlength=width)
+        total[1, :width] += np.bincount(own[q >= Q20], minlength=width)
+        total[2, :width] += np.bincount(own[q >= Q30], minlength=width)
+        total[3, :width] += np.bincount(own, q - PHRED_OFFSET, width).astype(np.int64)
+    used = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(used // 8 + 1, pa.int32()), pa.array(used % 8, pa.int32()), *[pa.array(x[used]) for x in total]], ["cycle", "code", "n", "n_q20", "n_q30", "sum_q"])
+
+
+def _count_qualities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(256, np.int64)
+    for batch in batches:
+        total += np.bincount(_bytes(batch.column("qual"))[0], minlength=256)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["qual_ascii", "n"])
 
 
 def per_cycle_counts(reads: DataFrame) -> DataFrame:
     """cycle, code, n, n_q20, n_q30, sum_q: the base table that curves are made of."""
-    return bases(reads).groupBy("cycle", "code").agg(F.count("*").alias("n"), F.count_if(F.col("q") >= Q20).alias("n_q20"), F.count_if(F.col("q") >= Q30).alias("n_q30"), F.coalesce(F.sum(F.col("q") - PHRED_OFFSET), F.lit(0)).alias("sum_q"))
+    names = ("n", "n_q20", "n_q30", "sum_q")
+    parts = _nonempty(reads).mapInArrow(_count_cycles, "cycle int, code int, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy("cycle", "code").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def curves(counts: DataFrame) -> DataFrame:
@@ -94,8 +131,8 @@ def sampled(curve: DataFrame, about: int = 25) -> DataFrame:
 
 def quality_histogram(reads: DataFrame) -> DataFrame:
     """qual_ascii and n over all bases."""
-    r = _nonempty(reads).select(F.explode(F.split("qual", "")).alias("c")).where("c <> ''")
-    return r.groupBy(F.ascii("c").alias("qual_ascii")).agg(F.count("*").alias("n"))
+    parts = _nonempty(reads).select("qual").mapInArrow(_count_qualities, "qual_ascii int, n long")
+    return parts.groupBy("qual_ascii").agg(F.sum("n").alias("n"))
 
 
 def length_histogram(reads: DataFrame, column: str = "seq") -> DataFrame:

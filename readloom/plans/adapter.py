@@ -39,6 +39,10 @@ FROM (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived at each use; from the table that the session setting ``readloom.pairs`` names, where it is set."""
+    kept = spark.conf.get("readloom.pairs", None)
+    if kept:
+        return spark.read.parquet(kept)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return spark.sql(PAIRS.replace("FROM orders", "FROM {orders}"), orders=orders)
 
@@ -52,5 +56,12 @@ def side(pairs_: DataFrame, n: int) -> DataFrame:
     )
 
 
+def both(pairs_: DataFrame) -> DataFrame:
+    """Both files' records from one scan of the pairs."""
+    at = lambda n: F.struct(*[c.alias(x) for c, x in zip([F.lit(f"R{n}"), F.col(f"header{n}"), F.col(f"seq{n}"), F.col(f"qual{n}")], ["file", "header", "seq", "qual"], strict=True)])
+    rows = pairs_.select("k", F.explode(F.array(at(1), at(2))).alias("r")).where("r.seq IS NOT NULL")
+    return rows.select("r.file", F.col("k").alias("record_index"), (F.col("k") * 4 + 1).alias("line"), "r.header", "r.seq", F.lit("+").alias("plus"), "r.qual", F.lit(4).alias("n_lines"))
+
+
 def reads(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
     return side(pairs(spark, sf_dir), n)

@@ -104,7 +104,7 @@ def length_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 150) AS s FROM documents), c AS (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM d) SELECT CAST(i AS INTEGER) AS cycle, CAST(ord(substr(s, i, 1)) & 7 AS INTEGER) AS code, count(*) AS n FROM c GROUP BY ALL"
+    "WITH d AS (SELECT regexp_replace(text, '[^ -~]', '', 'g') AS s FROM documents), c AS (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM d) SELECT CAST(i AS INTEGER) AS cycle, CAST(ord(substr(s, i, 1)) & 7 AS INTEGER) AS code, count(*) AS n FROM c GROUP BY ALL"
 )
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.text_profile(_t(spark, sf_dir, "documents"), "text")
@@ -146,7 +146,7 @@ def duplication_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(duplicates.rate(adapter.reads(spark, sf_dir), "seq", approximate=True))
 
 
-_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(left(seq, 40), ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(seq, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 
 
 @query(_R1 + f" SELECT k, printf('%016X', {_FNV}::UBIGINT) AS fnv1a FROM r")
@@ -225,13 +225,14 @@ def detect_phred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.file_stats(adapter.reads(spark, sf_dir), detect_quality=True).select("file", "min_qual_ascii", "max_qual_ascii", "phred_detected")
 
 
-_HITS = ", ".join(f"count_if(regexp_matches(header, '{p}')) AS h{i}" for i, p in enumerate(rf.PLATFORMS.values()))
-_NAMES = ", ".join(f"({i}, '{n}', h{i})" for i, n in enumerate(rf.PLATFORMS))
+#: the SQL's own list, apart from the operator's: the order in which equal counts are decided, the last one winning
+_PLATFORMS = ["Illumina", "BGI/MGI", "PacBio", "Oxford Nanopore"]
+_HITS = ", ".join(f"count_if(regexp_matches(header, '{rf.PLATFORMS[n]}')) AS h{i}" for i, n in enumerate(_PLATFORMS))
 
 
 @query(
     _R1
-    + f", h AS (SELECT count(*) AS n, {_HITS} FROM r WHERE k <= 10000), v AS (SELECT n, unnest([{', '.join(f'{{i: {i}, name: {n!r}, hits: h{i}}}' for i, n in enumerate(rf.PLATFORMS))}]) AS s FROM h), w AS (SELECT * FROM v ORDER BY s.hits DESC, s.i DESC LIMIT 1) SELECT 'R1' AS file, CASE WHEN s.hits / n >= 0.8 THEN s.name ELSE 'Unknown' END AS platform_inferred, round(s.hits / n, 3) AS platform_confidence, n AS platform_reads_sampled FROM w"
+    + f", h AS (SELECT count(*) AS n, {_HITS} FROM r WHERE k <= 10000), v AS (SELECT n, unnest([{', '.join(f'{{i: {i}, name: {n!r}, hits: h{i}}}' for i, n in enumerate(_PLATFORMS))}]) AS s FROM h), w AS (SELECT * FROM v ORDER BY s.hits DESC, s.i DESC LIMIT 1) SELECT 'R1' AS file, CASE WHEN s.hits / n >= 0.8 THEN s.name ELSE 'Unknown' END AS platform_inferred, round(s.hits / n, 3) AS platform_confidence, n AS platform_reads_sampled FROM w"
 )
 def infer_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.platform(adapter.reads(spark, sf_dir))
@@ -279,9 +280,9 @@ def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f", r AS (SELECT k, header1 AS header, seq1 AS seq, qual1 AS qual FROM p), r2 AS (SELECT k, header2 AS header, seq2 AS seq, qual2 AS qual FROM p WHERE seq2 IS NOT NULL), e AS ({_FAULTS}), e2 AS ({_FAULTS.replace('FROM r ', 'FROM r2 ')}), s AS ({_COUNTERS}) SELECT (SELECT count(*) FROM r) AS reads1, (SELECT count(*) FROM r2) AS reads2, pairs_checked, (SELECT count(*) FROM r) + (SELECT count(*) FROM r2) AS total_reads, CAST((SELECT sum(length(seq)) FROM r) + (SELECT sum(length(seq)) FROM r2) AS BIGINT) AS total_bases, (SELECT count(*) FROM e) + (SELECT count(*) FROM e2) + name_mismatches + unpaired_reads AS errors FROM s"
 )
 def check_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = adapter.pairs(spark, sf_dir)
-    both = adapter.side(p, 1).unionByName(adapter.side(p, 2))
-    out = validate.report(validate.file_stats(both, strict_bases=True), validate.platform(both), pairing.counters(_zip(spark, sf_dir)), ["R1", "R2"])
+    both = adapter.both(adapter.pairs(spark, sf_dir))
+    pairs = pairing.by_position(both.select("file", "record_index", "header"), "R1", "R2")
+    out = validate.report(validate.file_report(both, strict_bases=True), None, pairing.counters(pairs), ["R1", "R2"])
     return out.select(F.col("read1.total_reads").alias("reads1"), F.col("read2.total_reads").alias("reads2"), "paired.pairs_checked", "total_reads", "total_bases", "errors")
 
 
@@ -406,7 +407,7 @@ def xml_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HTML = "concat('<a href=http://x.org/download/P', page_id, '>d</a> http://x.org/other/P', page_id, ' study_id = \"', page_id, '\"', html, 'http://x.org/download/P', page_id, '<')"
 
 
-@query("SELECT page_id, 1 AS n, concat('http://x.org/download/P', page_id) AS url FROM pages WHERE page_id < 10")
+@query("SELECT page_id, 1 AS n, concat('http://x.org/download/P', page_id) AS url FROM pages")
 def html_unique_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages").select("page_id", F.expr(_HTML).alias("html"))
     found = tf.project_urls(F.col("html"), F.concat(F.lit("P"), F.col("page_id").cast("string")))

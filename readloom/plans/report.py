@@ -105,9 +105,29 @@ def lengths_tsv(lengths: Iterable[Row], percent_of: int | None = None, decimals:
     return "length\tpercent\n" + "".join(f"{r['length']}\t{fixed((100.0 if percent else 1.0) * r['n'] / max(1, percent_of), decimals)}\n" for r in rows)
 
 
+def duplication_text(duplication: Row, decimals: int = 6, percent: bool = False) -> str:
+    """The duplication block of the summary."""
+    rate = fixed(duplication["dup_rate"] * (100.0 if percent else 1.0), decimals) + (" %" if percent else "")
+    return f"\n=== Duplication ===\n  {'Duplication rate:':<20} {rate:>12}\n"
+
+
+def insert_text(peak: Row) -> str:
+    """The insert-size block of a pair's summary."""
+    return f"\n=== Insert Size ===\n  {'Insert size peak:':<20} {peak['peak']:>12,}\n  {'Unknown pairs:':<20} {peak['unknown']:>12,}\n"
+
+
 def check_text(report: Row) -> str:
-    """The validation summary for people."""
-    return f"Total reads: {report['total_reads']}\nTotal bases: {report['total_bases']}\nErrors: {report['errors']}\n"
+    """The validation summary for people: lines on each file, on the pair, and the totals."""
+    lines = []
+    for side in (report["read1"], report["read2"]):
+        if side is None:
+            continue
+        lines.append(f"{side['path']}: reads={side['total_reads']}, bases={side['total_bases']}, errors={side['errors']}")
+        if side["phred_detected"] is not None:
+            lines.append(f"{side['path']}: quality={side['phred_detected']}")
+        if side["platform_inferred"] is not None:
+            lines.append(f"{side['path']}: platform={side['platform_inferred']} confidence={side['platform_confidence'] or 0.0:.3f} sampled_reads={side['platform_reads_sampled'] or 0}")
+    return "".join(f"{x}\n" for x in lines) + f"Total reads: {report['total_reads']}\nTotal bases: {report['total_bases']}\nErrors: {report['errors']}\n"
 
 
 def collected(df: DataFrame) -> list[Row]:

@@ -54,6 +54,7 @@ def quality(
         text += (f"\n>>>> Read {k} <<<<\n" if read2 else "") + report.summary_text(s, curve, decimals, percent)
     if both:
         text += "\n>>>> Combined <<<<\n" + report.summary_text(both[0], both[1], decimals, percent)
+    text += report.duplication_text(dup, decimals, percent) + (report.insert_text(insert) if insert else "")
     if json_path:
         reads = {f"read{k}": report.read_json(s, lengths, curve, qualities, decimals, percent, json_comma) for k, (s, curve, lengths, qualities) in enumerate(parts, 1)}
         _put(json_path, report.document(reads, both[0] if both else None, dup, (insert, hist.collect()) if insert else None, decimals, percent, json_comma) + "\n")
@@ -81,7 +82,8 @@ def check(spark: SparkSession, read1: str, read2: str | None = None, strict_base
     if len(files) == 2:
         whole = [f.where("n_lines = 4").select("record_index", "header", "seq") for f in files]
         pairs = pairing.counters(pairing.zipped(*whole))
-    out = validate.report(validate.file_stats(rows, strict_bases, detect_quality), validate.platform(rows, sample) if infer_platform else None, pairs, names)
+    stats = validate.file_report(rows, strict_bases, detect_quality, sample, names) if infer_platform else validate.file_stats(rows, strict_bases, detect_quality, names)
+    out = validate.report(stats, None, pairs, names)
     got = out.select("*", F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("json")).first()
     if json_path:
         _put(json_path, got["json"] + "\n")

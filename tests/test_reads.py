@@ -157,3 +157,59 @@ def test_stream_of_reads(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("totals").first().total_bases == 6
+
+
+@pytest.mark.parametrize(
+    ("header", "name"),
+    [
+        ("@MGI01/12/0_500", "PacBio"),  # also of the pattern before it
+        ("@BGI9 runid=ab ch=1 start_time=x", "Oxford Nanopore"),
+        ("@A00:1:F:1:2:3:4", "Illumina"),
+        ("@V3:1:F:1:2:3:4", "BGI/MGI"),  # also Illumina, which comes first
+    ],
+)
+def test_platform_ties_go_to_the_later_one(spark, header, name):
+    reads = spark.createDataFrame([("f", 1, header, 4)], "file string, record_index long, header string, n_lines int")
+    assert validate.platform(reads).first().platform_inferred == name
+
+
+def test_a_file_without_records(spark):
+    columns = "file string, record_index long, line long, header string, seq string, plus string, qual string, n_lines int"
+    reads = spark.createDataFrame([("a", 1, 1, "@r", "ACGT", "+", "II\x01I", 4), ("a", 2, 5, "r", "", "x", "", 4), ("a", 3, 9, "@t", None, None, None, 1)], columns)
+    rows = {r.file: r for r in validate.file_report(reads, strict_bases=True, detect_quality=True, files=["a", "b"]).collect()}
+    assert (rows["b"].total_reads, rows["b"].errors, rows["b"].platform_inferred, rows["b"].platform_confidence, rows["b"].phred_detected) == (0, 0, "Unknown", 0.0, "No qualities observed")
+    found = [(r.record_index, r.code, r.message) for r in validate.errors(reads, strict_bases=True, detect_quality=True).collect()]
+    assert found == [
+        (1, "quality", "quality contains non-printable ASCII byte 1"),
+        (2, "header", "header must start with '@': r"),
+        (2, "empty", "sequence is empty"),
+        (2, "plus", "plus line must start with '+': x"),
+        (3, "truncated", "truncated record: missing sequence line"),
+    ]
+    assert rows["a"].errors == len(found) and rows["a"].total_reads == 2
+    apart = validate.file_stats(reads, True, True, ["a", "b"]).join(validate.platform(reads, files=["a", "b"]), "file")
+    names = sorted(apart.columns)
+    assert sorted(map(str, apart.select(names).collect())) == sorted(str(r) for r in validate.file_report(reads, True, True, files=["a", "b"]).select(names).collect())
+
+
+def test_pairs_from_one_table(spark):
+    both = spark.createDataFrame([("x", 1, "@a/1"), ("y", 1, "@a/2"), ("x", 2, "@b"), ("y", 3, "@c")], "file string, record_index long, header string")
+    got = {r.record_index: (r.r1 and r.r1.header, r.r2 and r.r2.header) for r in pairing.by_position(both, "x", "y").collect()}
+    assert got == {1: ("@a/1", "@a/2"), 2: ("@b", None), 3: (None, "@c")}
+
+
+def test_cycle_counts_against_plain_counting(spark):
+    rows = [("ACGTN", "I5?#I"), ("AC", "I"), ("", ""), ("GGG", None), (None, "I"), ("acX", "III!!")]
+    reads = spark.createDataFrame(rows, "seq string, qual string").repartition(3)
+    got = {(r.cycle, r.code): (r.n, r.n_q20, r.n_q30, r.sum_q) for r in qc.per_cycle_counts(reads).collect()}
+    want, values = {}, {}
+    for seq, qual in rows:
+        for i, b in enumerate(seq or ""):
+            q = ord(qual[i]) if qual and i < len(qual) else None
+            n = want.setdefault((i + 1, ord(b) & 7), [0, 0, 0, 0])
+            n[0] += 1
+            if q is not None:
+                n[1], n[2], n[3] = n[1] + (q >= 53), n[2] + (q >= 63), n[3] + q - 33
+                values[q] = values.get(q, 0) + 1
+    assert got == {k: tuple(v) for k, v in want.items()}
+    assert {r.qual_ascii: r.n for r in qc.quality_histogram(reads).collect()} == values
