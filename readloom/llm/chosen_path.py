@@ -300,7 +300,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class"), F.least("a", "m").alias("label")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("class").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels["class"] == near["a"]).select("class", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        # Written, so that the next join's sides are plain exchanges: Spark can then split the label of a large component.
+        hooked = durable(labels.join(near, labels["class"] == near["a"]).select("class", F.col("label").alias("old"), F.least("label", "m").alias("label")), "cc-hooked")
         up = hooked.select(F.col("class").alias("label"), F.col("label").alias("up"))
         jumped = durable(hooked.join(up, "label", "left").select("class", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "cc-labels")
         labels = jumped.select("class", "label")
@@ -332,8 +333,9 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     judged = durable(sorted_(chosen.drop("n").join(texts, "class")).mapInArrow(lean(_exact), "class binary, links long, root binary"), "cpj-links")
     labels = components(judged.select("class", "root"))
     links = judged.groupBy("class").agg(F.sum("links").alias("links"))
-    found = classes.join(links, "class", "left").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = found.groupBy("label").agg(F.min("first").alias("least"))
+    # Both sides of the join by label are written, for the same reason as in components().
+    found = durable(classes.join(links, "class", "left").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "cpj-found")
+    least = durable(found.groupBy("label").agg(F.min("first").alias("least")), "cpj-least")
     found = found.join(least, "label").select("class", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), "least")
     out = rows.select("doc_id", "text_hash", "class").join(found, "class")
     return out.select("doc_id", "text_hash", F.col("least.doc_id").alias("class_id"), F.col("first.doc_id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), (F.struct("doc_id", "text_hash") == F.col("least")).alias("first_of_class"))
