@@ -3,7 +3,10 @@
 The model gives pieces and scores; a text's best segmentation is the one of the highest sum of scores. Pieces never
 cross from a word into the next one's mark, so texts are cut into words, a word (with the marks before it) is solved
 once however often it stands in a batch, and words of one length advance together: at each place the hashes of all
-substrings that end there probe a hash table of the piece keys, and the maxima over their starts give the back pointers.
+substrings that end there probe the sorted piece keys, and the maxima over their starts give the back pointers. A word
+is first cut wherever two neighbouring characters stand together in no piece, as no segmentation crosses such a place;
+so text without spaces makes short words too. A run whose every pair of neighbours is part of a piece stays one word,
+at a step for each of its characters.
 
 Encoding is lossless. A space becomes the mark U+2581, a mark in front stands for the start of the text; characters
 that no piece covers, and marks that stand in the text itself, become byte pieces. Decoding is the exact inverse.
@@ -36,35 +39,26 @@ UNKNOWN = -10.0
 
 
 class Keys:
-    """A hash table of 64-bit keys, probed by arrays: values of present keys, -1 for others."""
+    """Sorted 64-bit keys, probed by arrays: numbers of present keys, -1 for others.
+
+    A table of the leading bits says where the search begins; ranges hold a key or few, so some steps up are a search.
+    """
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
-        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        mask = (1 << self.bits) - 1
-        self.steps, slot, left = 0, (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            free = left[self.values[slot[left]] < 0]
-            _, first = np.unique(slot[free], return_index=True)
-            won = free[first]
-            self.keys[slot[won]], self.values[slot[won]] = keys[won], won
-            left = np.setdiff1d(left, won, assume_unique=True)
-            slot[left] = (slot[left] + 1) & mask
-            self.steps += 1
+        order = np.argsort(keys, kind="stable")
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.append(keys[order], np.uint64((1 << 64) - 1))
+        self.numbers = np.append(order, -1).astype(np.int32)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        mask = np.uint64((1 << self.bits) - 1)
-        slot = (keys & mask).astype(np.int64)
-        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
-        open_ = np.flatnonzero((out < 0) & (self.values[slot] >= 0))
-        for _ in range(self.steps - 1):
-            if not len(open_):
-                break
-            slot[open_] = (slot[open_] + 1) & int(mask)
-            own = slot[open_]
-            out[open_] = np.where(self.keys[own] == keys[open_], self.values[own], -1)
-            open_ = open_[(out[open_] < 0) & (self.values[own] >= 0)]
-        return out
+        at = self.first[keys >> self.shift]
+        below = np.flatnonzero(self.keys[at] < keys)
+        while len(below):
+            at[below] += 1
+            below = below[self.keys[at[below]] < keys[below]]
+        return np.where(self.keys[at] == keys, self.numbers[at], -1)
 
 
 def _extend(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -96,6 +90,8 @@ class Model:
         self.ids = np.array(usable, np.int32)
         self.table = Keys(np.array([hash_points(code_points(self.pieces[i])) for i in usable], np.uint64))
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
+        inside = sorted({p[k : k + 2] for i in usable for p in [self.pieces[i]] for k in range(len(p) - 1)})
+        self.neighbours = Keys(np.array([hash_points(code_points(x)) for x in inside], np.uint64))
         self.unknown = float(self.scores[self.ids].min(initial=0.0)) + UNKNOWN
         self.raw = [p.replace(chr(MARK), " ").encode("utf-8", "surrogatepass") for p in self.pieces]
         for b, i in enumerate(self.bytes_.tolist()):
@@ -204,6 +200,7 @@ def encode_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     begins = np.zeros(len(flat), bool)
     begins[bounds[:-1][sizes > 0]] = True
     begins[1:] |= mark[1:] & ~mark[:-1]
+    begins[1:] |= model.neighbours.find(_extend(_extend(np.zeros(len(flat) - 1, np.uint64), flat[:-1]), flat[1:])) < 0
     first = np.flatnonzero(begins)
     size = np.diff(np.append(first, len(flat)))
     # Words of one length are made unique by their code points' hash, then solved together.
