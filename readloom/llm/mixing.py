@@ -10,8 +10,8 @@ weight among the others until none is above (solved at once, by sources in ascen
 source's first pass takes its documents in order, a second pass repeats them, and the last document of a pass may be
 taken in part; so the taken words of a source add up to its target, rounded to words.
 
-Running sums inside a source are two-level: by hash bucket, then inside a bucket, so a source with most of the rows is
-spread over as many tasks as it has buckets.
+Running sums inside a source have three levels: over groups of hash buckets, over the buckets of a group, and inside a
+bucket, so a source with most of the rows is spread over as many tasks as it has buckets, and no task sums all buckets.
 
 Defined results: a null text has size 0 and takes nothing; null is a source of its own, ranked last; repeated rows
 each count; a tie in md5 order (equal ids) goes by text hash; an empty table gives an empty plan. Extra columns are
@@ -37,8 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_A_BUCKET = 4000
 
 
-def _measured(docs: DataFrame, bucket_digits: int | None = None) -> DataFrame:
-    """One small row a document: what the plan needs of it."""
+def _measured(docs: DataFrame, bucket_digits: int | None = None, whole: bool = False) -> DataFrame:
+    """What the plan needs of a document, in a small row; with ``whole`` the document's columns too, as the struct row."""
     digits = bucket_digits or max(2, math.ceil(math.log(max(1, docs.count()) / ROWS_A_BUCKET, 16)))
     rows = docs.select(
         "doc_id",
@@ -46,6 +46,7 @@ def _measured(docs: DataFrame, bucket_digits: int | None = None) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("size"),
         F.xxhash64("text").alias("text_hash"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("spot"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []),
     )
     return rows.withColumn("bucket", F.substring("spot", 1, digits))
 
@@ -106,17 +107,25 @@ def targets(sizes: DataFrame, schedules: DataFrame | None = None, budget: float
     return known.select("source", "source_size", F.least("cap", F.coalesce(found * F.col("weight"), F.col("cap"))).alias("target"), "segments", F.col("weight").alias("area"))
 
 
-def plan(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """One row a document: size, source_size, target, taken words, whole copies and the copies' positions (0..1)."""
-    rows = durable(_measured(docs), "mix-sizes")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("bucket_start", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
-    known = targets(rows, schedules, budget, most)
+def _bucket_starts(sums: DataFrame) -> DataFrame:
+    """The words of a source before each of its buckets: over groups of buckets, then inside a group."""
+    group = F.expr("substring(bucket, 1, length(bucket) div 2)")
+    sums = sums.withColumn("group", group)
+    groups = sums.groupBy("key", "group").agg(F.sum("size").alias("words"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("group_start", F.coalesce(F.sum("words").over(before("key").orderBy("group")), F.lit(0))).drop("words")
+    inside = F.coalesce(F.sum("size").over(before("key", "group").orderBy("bucket")), F.lit(0))
+    placed = sums.withColumn("inside", inside).join(groups, ["key", "group"])
+    return placed.select("key", "bucket", (F.col("group_start") + F.col("inside")).alias("bucket_start"))
+
+
+def _placed(rows: DataFrame, schedules: DataFrame | None, budget: float, most: float) -> DataFrame:
+    """Measured rows with source_size, target, taken, copies and positions; they are exchanged once, by source and bucket."""
     # Null sources meet under a key of their own.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    buckets = buckets.withColumn("key", key).drop("source").join(known.withColumn("key", key).drop("source"), "key")
-    placed = rows.withColumn("key", key).join(buckets, ["key", "bucket"])
+    sums = durable(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")).withColumn("key", key), "mix-buckets")
+    known = targets(sums, schedules, budget, most).withColumn("key", key).drop("source")
+    placed = rows.withColumn("key", key).join(_bucket_starts(sums).join(known, "key"), ["key", "bucket"])
     inside = Window.partitionBy("key", "bucket").orderBy("spot", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("begin", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.round("target").cast("long")
@@ -125,24 +134,25 @@ def plan(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BU
     taken = F.aggregate(passes, F.lit(0).cast("long"), lambda s, p: s + F.greatest(F.lit(0), F.least(F.col("size"), whole - begin(p))))
     middle = lambda p: begin(p) + F.col("size") / 2
     positions = F.transform(F.filter(passes, lambda p: middle(p) < F.col("target")), lambda p: _invert(F.col("segments"), F.col("area"), middle(p) / F.col("target")))
-    return placed.select("doc_id", "source", "spot", "text_hash", "size", "source_size", "target", taken.alias("taken"), F.size(positions).alias("copies"), positions.alias("positions"))
+    return placed.withColumns({"taken": taken, "copies": F.size(positions), "positions": positions})
+
+
+def plan(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """One row a document: size, source_size, target, taken words, whole copies and the copies' positions (0..1)."""
+    placed = _placed(durable(_measured(docs), "mix-sizes"), schedules, budget, most)
+    return placed.select("doc_id", "source", "spot", "text_hash", "size", "source_size", "target", "taken", "copies", "positions")
 
 
 def mix(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST, position: str | None = None) -> DataFrame:
     """The training order: every taken document once a copy, in ascending position (a column of that name if given).
 
-    Whole documents are emitted: a copy is kept when the middle of its words lies inside the target.
+    Whole documents are emitted: a copy is kept when the middle of its words lies inside the target. Rows travel whole
+    to their bucket, so repeated rows need no matching with their plan; they are exchanged once more, for the order.
     """
-    chosen = plan(docs, schedules, budget, most)
-    # Repeated rows pair up one to one by their number among their likes.
-    nth = lambda id_, hash_, source: F.row_number().over(Window.partitionBy(id_, hash_, source).orderBy(F.lit(0)))
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), F.col("positions").alias("__positions"))
-    chosen = chosen.withColumn("__nth", nth("__id", "__hash", "__source")).where(F.size("__positions") > 0)
-    rows = docs.withColumns({"__h": F.xxhash64("text"), "__s": F.col("source").cast("string")}).withColumn("__n", nth("doc_id", "__h", "__s"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__nth"))
-    copies = rows.join(chosen, same).withColumn("__position", F.explode("__positions"))
-    out = copies.repartitionByRange("__position", "doc_id").sortWithinPartitions("__position", "doc_id")
-    return out.select(*[out[c] for c in docs.columns], *([F.col("__position").alias(position)] if position else []))
+    chosen = _placed(_measured(docs, whole=True), schedules, budget, most)
+    copies = chosen.select("doc_id", "row", F.explode("positions").alias("position"))
+    out = copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], *([F.col("position").alias(position)] if position else []))
 
 
 def training_order(docs: DataFrame, schedules: DataFrame | None = None, budget: float = BUDGET, most: float = MOST) -> DataFrame:
