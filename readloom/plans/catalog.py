@@ -439,4 +439,8 @@ def union_schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(sum(size) AS BIGINT) AS total_bytes, count(*) AS files, CAST(count_if(url <> '') AS BIGINT) AS with_url FROM ({_FILES})")
 def total_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).agg(F.sum("size").alias("total_bytes"), F.count("*").alias("files"), F.count_if(F.col("url") != "").alias("with_url"))
+    """The sum is exact. It has the SQL's type, BIGINT, wherever it fits (one row is looked at first), else DECIMAL(38,0); the SQL has no result then."""
+    size = F.sum(F.col("size").cast("decimal(19,0)")).cast("decimal(38,0)")
+    totals = _files(spark, sf_dir).agg(size.alias("total_bytes"), F.count("*").alias("files"), F.count_if(F.col("url") != "").alias("with_url"))
+    fits = totals.where(~F.col("total_bytes").between(-(2**63), 2**63 - 1)).isEmpty()
+    return totals.withColumn("total_bytes", F.col("total_bytes").cast("bigint")) if fits else totals

@@ -33,3 +33,15 @@ def test_profile_of_whole_texts(spark):
     for (text,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall():
         want.update((i, ord(c) & 7) for i, c in enumerate((c for c in text if " " <= c <= "~"), 1))
     assert got == want and max(i for i, _ in want) > 150
+
+
+def test_total_beyond_64_bits(spark, tmp_path):
+    """Keys of a table 60 times sf0.1: the sum of sizes is above 2^63, DuckDB's sum without the cast has it too."""
+    part = spark.read.parquet(f"{SF}/part.parquet").selectExpr("*", "explode(sequence(0, 1200000, 1000)) AS shift").selectExpr("p_partkey + shift AS p_partkey", "p_name", "p_brand", "p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.total_bytes(spark, str(tmp_path))
+    rows = f"({catalog._FILES.replace('FROM part', f"FROM '{tmp_path}/part.parquet/*.parquet'")})"
+    want = duckdb.sql(f"SELECT sum(size), count(*), count_if(url <> '') FROM {rows}").fetchall()[0]
+    assert want[0] > 2**63 and tuple(got.first()) == want and dict(got.dtypes)["total_bytes"] == "decimal(38,0)"
+    small = catalog.total_bytes(spark, SF)
+    assert dict(small.dtypes)["total_bytes"] == "bigint" and small.first().total_bytes == duckdb.sql(f"SELECT sum(size) FROM ({catalog._FILES.replace('FROM part', f"FROM '{SF}/part.parquet'")})").fetchall()[0][0]
