@@ -6,16 +6,22 @@ labelled 1 against one labelled 0) by logistic loss on the difference of their f
 shift only, so the cut is a quantile: the share of training documents labelled 0 lies below it. The reported score
 is a logistic curve through 0.7 at the cut.
 
-Training takes at most ``max_train`` labelled documents, those of the smallest id hashes (a documented bound for
-fitting; scoring covers every row and reads whole texts). Defined results: null and empty texts have all-zero
-statistics and get the score of such a text; a null id counts as the empty text when folds are dealt; repeated rows
-are scored alike; without both labels every score is 1. Extra columns are ignored or, in :func:`keep_good`, passed
-through unchanged.
+Bin edges, loss and cut come from every labelled document outside the held-out fold and from every pair of a good and
+a bad one; no pair is drawn. The loss of all pairs is a convolution of the two score histograms: a score is shared between
+its two neighbours on a grid of 1/64 (coarser where scores spread over more than 8,192 steps), a pull is read between grid
+points. A round of L-BFGS takes two passes over the bin codes. All sums are whole numbers, so neither the order nor the
+spread of the rows changes the model: up to ``HERE`` rows are summed on the driver, more are summed by tasks.
+``max_train`` is for callers who want a bound (the smallest id hashes); without it there is none.
+
+Defined results: null and empty texts have all-zero statistics and get the score of such a text; a null id counts as the
+empty text when folds are dealt; repeated rows are scored alike, rows of one id are one training document (that of the
+least statistics as bytes); without both labels every score is 1. Extra columns are ignored or, in :func:`keep_good`,
+passed through unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import fold_of, lean, mix64, range_hashes, spans, sums, table, text_chunks, text_or_empty
+from readloom.llm.common import buffers, durable, fold_of, lean, mix64, range_hashes, spans, sums, table, text_chunks, text_or_empty
 
-MAX_TRAIN = 20_000
+HERE = 20_000
 CUT = 0.7
 BINS = 12
 
@@ -96,64 +102,242 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = 200_000, rounds: int = 200, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Adam on the logistic loss of feature differences over ``pairs`` drawn preference pairs."""
-    edges = np.stack([np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1]) for k in range(x.shape[1])]) if len(x) else np.zeros((len(NAMES), BINS - 1))
-    d = edges.shape[0]
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def _codes(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(edges[k], x[:, k], side="right") for k in range(len(edges))], 1).astype(np.uint8)
+
+
+def _sum_weights(codes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    s = np.zeros(len(codes))
+    for k in range(codes.shape[1]):
+        s += w[k * BINS + codes[:, k].astype(np.intp)]
+    return s
+
+
+def _pack(x: np.ndarray) -> pa.Array:
+    """One binary value a row of the matrix."""
+    width = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _unpack(column: pa.Array, dtype: type) -> np.ndarray:
+    return buffers(column)[0].view(dtype).reshape(len(column), len(NAMES))
+
+
+_Sum = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Here:
+    """Training rows as arrays: statistics or bin codes, and labels."""
+
+    x: np.ndarray
+    y: np.ndarray
+
+    def total(self, run: _Sum) -> np.ndarray:
+        return run(self.x, self.y)
+
+    def coded(self, edges: np.ndarray) -> Here:
+        return Here(_codes(self.x, edges), self.y)
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Training rows as a table of label and packed statistics or bin codes; tasks send sums of whole numbers only."""
+
+    rows: DataFrame
+    dtype: type = np.float64
+
+    def total(self, run: _Sum) -> np.ndarray:
+        dtype = self.dtype
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = None
+            for batch in batches:
+                more = run(_unpack(batch.column("x"), dtype), batch.column("label").to_numpy())
+                part = more if part is None else part + more
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["part"])
+
+        return sum(np.frombuffer(r.part, np.int64) for r in self.rows.mapInArrow(lean(each), "part binary").collect())
+
+    def coded(self, edges: np.ndarray) -> Spread:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("label"), _pack(_codes(_unpack(batch.column("x"), np.float64), edges))], ["label", "x"])
+
+        return Spread(durable(self.rows.mapInArrow(lean(each), "label int, x binary"), "quality-codes"), np.uint8)
+
+
+_SIGN = np.uint64(1 << 63)
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def _doubles(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys & _SIGN, keys ^ _SIGN, ~keys).view(np.float64)
+
+
+def quantiles(rows: Here | Spread, n: int, columns: int, q: np.ndarray, values: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """Exact quantiles (numpy's linear ones) of every column: eight passes, each finds eight more bits of the order statistics."""
+    at = (n - 1) * np.asarray(q, float)
+    ranks = np.concatenate([np.floor(at), np.ceil(at)]).astype(np.int64)
+    found = np.zeros((columns, len(ranks)), np.uint64)
+    for shift in range(56, -1, -8):
+        digits = np.arange(256, dtype=np.uint64) << np.uint64(shift)
+        heads = [np.unique(f) for f in found]
+        bounds = [(h[:, None] + digits).ravel() for h in heads]
+
+        def count(x: np.ndarray, y: np.ndarray, bounds: list[np.ndarray] = bounds) -> np.ndarray:
+            keys = _keys(values(x))
+            return np.concatenate([np.bincount(np.searchsorted(b, keys[:, k], side="right"), minlength=len(b) + 1) for k, b in enumerate(bounds)])
+
+        counts = np.split(rows.total(count), np.cumsum([len(b) + 1 for b in bounds])[:-1])
+        for k in range(columns):
+            below = np.cumsum(counts[k])[:-1].reshape(-1, 256)
+            head = np.searchsorted(heads[k], found[k])
+            found[k] += digits[(below[head] <= ranks[:, None]).sum(1) - 1]
+    low, high = np.split(_doubles(found), 2, axis=1)
+    t = at - np.floor(at)
+    return np.where(t >= 0.5, high - (high - low) * (1 - t), low + (high - low) * t)
+
+
+_SHARE, _PULL, _CELLS = 1 << 20, 1 << 30, 1 << 13
+
+
+class PairLoss:
+    """Mean logistic loss of all pairs of a good and a bad row, and its slope, at given weights."""
+
+    def __init__(self, codes: Here | Spread, bad: int, good: int, size: int, l2: float) -> None:
+        self.codes, self.n, self.size, self.l2 = codes, np.array([bad, good], float), size, l2
+
+    def value(self, w: np.ndarray) -> tuple[float, tuple]:
+        by = w.reshape(-1, BINS)
+        low, high = by.min(1).sum(), by.max(1).sum()
+        step = max(1 / 64, (high - low) / (_CELLS - 8))
+        first, cells = np.floor(low / step) - 1, int(np.ceil((high - low) / step)) + 5
+
+        def histogram(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+            t = _sum_weights(codes, w) / step - first
+            cell = t.astype(np.int64)
+            share = np.rint((t - cell) * _SHARE)
+            cell += y * cells
+            return (np.bincount(cell, _SHARE - share, 2 * cells) + np.bincount(cell + 1, share, 2 * cells)).astype(np.int64)
+
+        bad, good = self.codes.total(histogram).reshape(2, cells) / (self.n[:, None] * _SHARE)
+        apart = np.arange(1 - cells, cells) * step
+        over = lambda h, kernel: np.convolve(h, kernel)[cells - 1 : 2 * cells - 1]
+        lost = 1 / (1 + np.exp(np.clip(apart, -60, 60)))
+        pull = np.stack([over(good, lost[::-1]), -over(bad, lost)])
+        return float(good @ over(bad, np.logaddexp(0, -apart)) + self.l2 / 2 * (w @ w)), (w, first, step, pull)
+
+    def slope(self, at: tuple) -> np.ndarray:
+        w, first, step, pull = at
+        size = self.size
+
+        def pulls(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+            t = _sum_weights(codes, w) / step - first
+            cell = t.astype(np.int64)
+            own = np.rint((pull[y, cell] * (1 - (t - cell)) + pull[y, cell + 1] * (t - cell)) * _PULL)
+            total = np.zeros(2 * size, np.int64)
+            for k in range(codes.shape[1]):
+                total += np.bincount(y * size + k * BINS + codes[:, k], own, 2 * size).astype(np.int64)
+            return total
+
+        return (self.codes.total(pulls).reshape(2, size) / (self.n[:, None] * _PULL)).sum(0) + self.l2 * w
+
+
+def _descend(loss: PairLoss, w: np.ndarray, rounds: int, memory: int = 10, enough: float = 1e-5) -> np.ndarray:
+    """L-BFGS with halved steps."""
+    f, at = loss.value(w)
+    g, past = loss.slope(at), []
+    for _ in range(rounds):
+        if np.abs(g).max() < enough:
+            break
+        d, a = -g, []
+        for s, y in reversed(past):
+            a.append((s @ d) / (s @ y))
+            d = d - a[-1] * y
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 2.0 * BINS)
+        for (s, y), b in zip(past, reversed(a), strict=True):
+            d = d + (b - (y @ d) / (s @ y)) * s
+        size = 1.0
+        while True:
+            new_f, at = loss.value(w + size * d)
+            if new_f <= f + 1e-4 * size * (g @ d):
+                break
+            size /= 2
+            if size < 1e-4:
+                return w
+        new_g = loss.slope(at)
+        if (size * d) @ (new_g - g) > 0:
+            past = [*past, (size * d, new_g - g)][-memory:]
+        w, f, g = w + size * d, new_f, new_g
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-4) -> Model:
+    """The model of rows given as arrays."""
+    return fit_rows(Here(x, np.asarray(y, np.int64)), int((y == 0).sum()), int((y == 1).sum()), rounds, l2)
+
+
+def fit_rows(rows: Here | Spread, bad: int, good: int, rounds: int = 60, l2: float = 1e-4) -> Model:
+    d, n = len(NAMES), bad + good
+    edges = quantiles(rows, n, d, np.linspace(0, 1, BINS + 1)[1:-1]) if n else np.zeros((d, BINS - 1))
+    if not good or not bad:
         return Model(edges, np.zeros((d, BINS)), -np.inf, 1.0)
-    bins = np.stack([np.searchsorted(edges[k], x[:, k], side="right") + k * BINS for k in range(d)], 1)
-    rng = np.random.default_rng(seed)
-    i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
-    w, m, v = np.zeros(d * BINS), np.zeros(d * BINS), np.zeros(d * BINS)
-    for step in range(1, rounds + 1):
-        s = w[bins].sum(1)
-        miss = 1 / (1 + np.exp(s[i] - s[j])) / pairs
-        pull = np.bincount(i, miss, len(y)) - np.bincount(j, miss, len(y))
-        g = l2 * w - np.bincount(bins.ravel(), np.repeat(pull, d), d * BINS)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    s = w[bins].sum(1)
-    return Model(edges, w.reshape(d, BINS), float(np.quantile(s, np.mean(y == 0))), 1.0)
-
-
-_ROW = "label int, x array<double>"
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offs in text_chunks(batch.column("text")):
-            x = features(data, offs)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), values], ["label", "x"])
-
-
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on labelled documents outside the held-out fold, at most ``max_train`` of them."""
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(fold_of("doc_id", modulus) != held)
-    chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    # Repeated ids stay out of the bound: each chosen id gives one text.
-    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).drop("doc_id")
-    got = rows.mapInArrow(lean(_rows), _ROW).toArrow()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(got), -1) if len(got) else np.zeros((0, len(NAMES)))
-    y = got.column("label").to_numpy()
-    order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
-    return fit(x[order], y[order])
+    codes = rows.coded(edges)
+    w = _descend(PairLoss(codes, bad, good, d * BINS, l2), np.zeros(d * BINS), rounds)
+    cut = quantiles(codes, n, 1, np.array([bad / n]), lambda c: _sum_weights(c, w)[:, None])
+    return Model(edges, w.reshape(d, BINS), float(cut[0, 0]), 1.0)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and rank (the Bradley-Terry score), for every row."""
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the packed statistics of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column("text")):
-                x = features(data, offs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.score(x)), pa.array(model.rank(x))], ["doc_id", "score", "rank"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), _pack(features(data, offs))], ["doc_id", "x"])
+
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_train: int | None = None) -> Model:
+    """Fit on all labelled documents outside the held-out fold, or on ``max_train`` of them."""
+    return train_on(statistics(docs.where(fold_of("doc_id", modulus) != held)), labels, modulus, held, max_train)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double, rank double")
+
+def train_on(stats: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, max_train: int | None = None) -> Model:
+    """:func:`train` over the table of :func:`statistics`; texts are not moved, statistics are."""
+    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(fold_of("doc_id", modulus) != held)
+    chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label"))
+    if max_train is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = stats.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x"))
+    rows = durable(rows.select("label", "x"), "quality-train")
+    n, good = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if n > HERE:
+        return fit_rows(Spread(rows.coalesce(min(64, n // 50_000 + 1))), n - good, good)
+    got = rows.toArrow()
+    return fit(_unpack(got.column("x"), np.float64), got.column("label").to_numpy())
+
+
+def _score_stats(stats: DataFrame, model: Model) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unpack(batch.column("x"), np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x)), pa.array(model.rank(x))], ["doc_id", "score", "rank"])
+
+    return stats.mapInArrow(lean(run), f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double, rank double")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) and rank (the Bradley-Terry score), for every row."""
+    return _score_stats(statistics(docs), model)
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -171,5 +355,6 @@ def keep_good(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    stats = durable(statistics(docs), "quality-statistics")
+    scored = _score_stats(stats, train_on(stats, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "rank")

@@ -214,6 +214,43 @@ def test_pair_loss_and_quantile_cut():
     assert ((model.score(x) >= quality.CUT) == (s >= model.cut - 1e-12)).mean() > 0.99
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows than are fitted on the driver: edges, weights and cut are those of all rows, in any order."""
+    import zlib
+
+    import pyarrow as pa
+
+    from readloom.llm.common import buffers
+
+    docs = spark.range(28_000, numPartitions=5).selectExpr("id AS doc_id", "concat(repeat('ab ', int(id * id % 37)), id, repeat('!', int(id * 7 % 11))) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id * doc_id % 37 + doc_id % 5 > 12) AS quality")
+    model = quality.train(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").orderBy("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x, y = quality.features(*buffers(pa.array([r.text for r in rows]))), np.array([r.quality for r in rows])
+    assert len(rows) > quality.HERE >= 20_000
+    assert model.edges == pytest.approx(np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0).T, rel=1e-15)
+    assert model.cut == pytest.approx(np.quantile(model.rank(x), np.mean(y == 0)))
+    order = np.random.default_rng(1).permutation(len(y))
+    here = quality.fit(x[order], y[order])
+    assert (here.weights == model.weights).all() and (here.edges == model.edges).all() and here.cut == model.cut
+
+
+def test_pair_loss_is_that_of_every_pair():
+    rng = np.random.default_rng(8)
+    codes, y = rng.integers(0, quality.BINS, (300, len(quality.NAMES))).astype(np.uint8), (rng.random(300) < 0.7).astype(int)
+    for scale in (0.0, 0.1, 1.0, 30.0):
+        w = rng.normal(size=len(quality.NAMES) * quality.BINS) * scale
+        hot = np.zeros((300, len(w)))
+        hot[np.arange(300)[:, None], np.arange(codes.shape[1]) * quality.BINS + codes] = 1
+        s = hot @ w
+        gap = s[y == 1][:, None] - s[y == 0][None]
+        miss = 0.5 * (1 - np.tanh(gap / 2)) / gap.size
+        slope = hot[y == 0].T @ miss.sum(0) - hot[y == 1].T @ miss.sum(1) + 0.01 * w
+        loss = quality.PairLoss(quality.Here(codes, y), int((y == 0).sum()), int((y == 1).sum()), len(w), 0.01)
+        value, at = loss.value(w)
+        assert value == pytest.approx(np.logaddexp(0, -gap).mean() + 0.005 * (w @ w), rel=1e-4) and loss.slope(at) == pytest.approx(slope, abs=1e-4)
+
+
 def test_text_statistics_against_a_plain_count():
     import re
 
